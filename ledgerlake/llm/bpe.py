@@ -14,7 +14,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SPACES = re.compile(f"[{_S}][{_S}]")
 #: Entries of a worker's cache of pieces; the first seen stay, as frequent pieces come early.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def byte_chars() -> dict[str, int]:

@@ -37,6 +37,27 @@ def knapsack(prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, taken
 
 
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan in numpy's own loops: threads of a linear algebra library may block beside a JVM's."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        at = k + int(np.argmax(np.abs(work[k:, k])))
+        if abs(work[at, k]) < 1e-9:
+            raise np.linalg.LinAlgError("singular basis")
+        if at != k:
+            work[[k, at]] = work[[at, k]]
+        work[k] /= work[k, k]
+        rows = np.flatnonzero(work[:, k])
+        rows = rows[rows != k]
+        work[rows] -= work[rows, k][:, None] * work[k]
+    return work[:, n:]
+
+
 def first_patterns(demand: dict[int, int], size: int) -> list[Counter]:
     """A first basis: first fit decreasing, where each pattern repeats until one of its lengths runs out."""
     left, out = dict(sorted(demand.items(), reverse=True)), []
@@ -47,9 +68,9 @@ def first_patterns(demand: dict[int, int], size: int) -> list[Counter]:
             if take:
                 pattern[x] = take
                 space -= take * x
-        times = min(left[x] / n for x, n in pattern.items())
+        share = min(left[x] / n for x, n in pattern.items())
         for x, n in pattern.items():
-            left[x] = max(0.0, left[x] - n * times)
+            left[x] = max(0.0, left[x] - n * share)
         spent = min(pattern, key=lambda x: (left[x] / pattern[x], -x))
         left.pop(spent)
         out.append(pattern)
@@ -74,8 +95,8 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
         for j, p in enumerate(patterns):
             for x, n in p.items():
                 basis[row[x], j] = n
-        inverse = np.linalg.inv(basis)
-        return inverse, np.maximum(inverse @ need, 0), inverse.sum(0)
+        inverse = inverted(basis)
+        return inverse, np.maximum(times(inverse, need), 0), inverse.sum(0)
 
     (inverse, use, duals), turns = solve(), 0
     sound = list(zip(patterns, use, strict=True))  # as last solved anew
@@ -96,10 +117,10 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
             column = np.zeros(len(lengths))
             for x, n in pattern.items():
                 column[row[x]] = n
-            gain = duals @ column - 1
+            gain = float((duals * column).sum()) - 1
             if gain <= gap / 2:
                 continue
-            change = inverse @ column
+            change = times(inverse, column)
             ratios = np.where(change > 1e-7, use / np.where(change > 1e-7, change, 1), np.inf)
             near = ratios <= ratios.min() + 1e-9 * (1 + ratios.min())
             out = int(np.argmax(np.where(near, change, 0)))  # of tied rows the most stable pivot
@@ -149,21 +170,21 @@ def plan(demand: dict[int, int], size: int) -> tuple[dict[int, list[tuple[int, i
     rest = Counter({k: v for k, v in demand.items() if v > 0})
     dealt: list[tuple[Counter, int]] = []
     for pattern, use in generate_patterns(rest, size):
-        times = int(min([use + 1e-6, *(rest[x] // n for x, n in pattern.items())]))
-        if times > 0:
-            dealt.append((pattern, times))
-            rest.subtract({x: n * times for x, n in pattern.items()})
+        turns = int(min([use + 1e-6, *(rest[x] // n for x, n in pattern.items())]))
+        if turns > 0:
+            dealt.append((pattern, turns))
+            rest.subtract({x: n * turns for x, n in pattern.items()})
     dealt += [(b, 1) for b in best_fit(+rest, size)]
     runs: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
     at: Counter = Counter()
     first = 0
-    for pattern, times in dealt:
+    for pattern, turns in dealt:
         offset = 0
         for x, n in sorted(pattern.items(), reverse=True):
-            runs[x].append((at[x], at[x] + n * times, n, first, offset))
-            at[x] += n * times
+            runs[x].append((at[x], at[x] + n * turns, n, first, offset))
+            at[x] += n * turns
             offset += n * x
-        first += times
+        first += turns
     return runs, first
 
 

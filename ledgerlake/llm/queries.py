@@ -7,9 +7,24 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exact_search, line_dedup, mixing, url_filter
 from .common import table
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 1.5 times the corpus takes of each document."""
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("first_finish")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the passages of three lines and more that stand elsewhere before."""
+    from .line_dedup import drop_repeated_lines
+
+    return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text from its prefix table."""
     from .token_counts import prefix_token_counts
@@ -18,6 +33,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     from .packing import pack
@@ -25,10 +47,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every vector whose id is divisible by 50."""
+    from .exact_search import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_token_counts, op5_hilbert_neighbours, op7_packing, op9_url_filter, op10_exact_top_k, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_exact_top_k": exact_search.ORACLE}

@@ -163,14 +163,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
     indexed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("curve", "block", "vec_id", "embedding")
     asked = placed.where(F.col("vec_id") % every == 0)
     window = F.sequence(F.greatest(F.lit(0), F.col("first") - reach), F.least(F.lit(blocks), F.col("first") + F.col("parts") - 1 + reach))
-    asked = asked.select("curve", F.explode(window).alias("block"), "vec_id", "embedding")
+    asked = asked.select(F.col("curve").alias("c"), F.explode(window).alias("b"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     made = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return made.empty_table()
-        ids, own = (t.column("vec_id").to_numpy() for t in (left, right))
-        x, q = matrix(left), matrix(right)
+        ids, own = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+        x, q = matrix(left), matrix(right, "query")
         norms, out = np.square(x).sum(1), []
         for lo in range(0, len(q), 256):
             some = q[lo : lo + 256]
@@ -187,5 +187,5 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], schema=made)
 
-    found = indexed.groupBy("curve", "block").cogroup(asked.groupBy("curve", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = indexed.groupBy("curve", "block").cogroup(asked.groupBy("c", "b")).applyInArrow(meet, "query_id long, vec_id long, score double")
     return best(found, k, descending=False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -40,6 +40,13 @@ def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word 3-grams agree to nine tenths."""
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     from .packing import pack
@@ -65,6 +72,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_token_counts, op5_hilbert_neighbours, op7_packing, op9_url_filter, op10_exact_top_k, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_token_counts, op5_hilbert_neighbours, op6_ngram_join, op7_packing, op9_url_filter, op10_exact_top_k, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_exact_top_k": exact_search.ORACLE}

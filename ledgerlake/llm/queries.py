@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_search, line_dedup, mixing, url_filter
-from .common import table
+from .common import held_out, table
+
+
+def op1_toxicity_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text by a conditional random field trained without the held out labels."""
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +63,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text by an additive model trained without the held out labels."""
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     from .url_filter import judge
@@ -72,6 +90,21 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_line_dedup, op4_token_counts, op5_hilbert_neighbours, op6_ngram_join, op7_packing, op9_url_filter, op10_exact_top_k, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_field,
+        op2_source_mix,
+        op3_line_dedup,
+        op4_token_counts,
+        op5_hilbert_neighbours,
+        op6_ngram_join,
+        op7_packing,
+        op8_quality_additive,
+        op9_url_filter,
+        op10_exact_top_k,
+        pipeline,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE, "op10_exact_top_k": exact_search.ORACLE}

@@ -15,7 +15,7 @@ from ledgerlake.llm.toxicity import fit_toxicity, score_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a conditional random field, trained on the labels, holds for toxic go."""
-    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_held_out=True)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where("toxicity < 0.5").select(*docs.columns)
 
 
@@ -39,7 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "taken")
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     times = materialize(taken.groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0"), "mixing-times")
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    times = times.withColumnRenamed("doc_id", "_id")
+    mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

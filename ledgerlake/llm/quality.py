@@ -196,15 +196,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in kept], text_of().alias("text")).mapInArrow(run, out)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, with_held_out: bool = False) -> bytes:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> bytes:
     """A trained model from labels (doc_id, quality) of docs (doc_id, text), without the held out ids.
 
     It sees about sample_rows labelled documents, picked by a hash of their id, and of those only their
     features. Labels that are null or of unknown documents are left out.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    if not with_held_out:
-        known = known.where(~held_out(F.col("doc_id")))
+    known = known.where(~held_out(F.col("doc_id")))
     share = min(1.0, sample_rows / max(1, known.count()))
     part = known.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", "quality")
     sample = measure(docs.select("doc_id", "text").join(F.broadcast(part), "doc_id"))  # about sample_rows ids

@@ -253,15 +253,14 @@ def scorer(model: bytes) -> Scorer:
     return Scorer(pickle.loads(model))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, with_held_out: bool = False) -> bytes:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000) -> bytes:
     """A trained field from labels (doc_id, toxic) of docs (doc_id, text), without the held out ids.
 
     It sees about sample_rows labelled documents, picked by a hash of their id; which ones does not depend
     on their order. Labels that are null or of unknown documents are left out.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    if not with_held_out:
-        known = known.where(~held_out(F.col("doc_id")))
+    known = known.where(~held_out(F.col("doc_id")))
     rows = known.count()
     share = min(1.0, sample_rows / max(1, rows))
     part = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", "toxic")

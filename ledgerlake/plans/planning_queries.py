@@ -169,11 +169,11 @@ def goal_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GOALS_SQL},
-k AS (SELECT o_custkey AS goal_id, sum((o_totalprice / 1000)::DECIMAL(15,2)) AS more FROM orders GROUP BY 1)
+k AS (SELECT o_custkey AS goal_id, sum(o_totalprice::DECIMAL(15,2)) AS more FROM orders GROUP BY 1)
 SELECT g.goal_id, user_id, target, (current + coalesce(more, 0))::DECIMAL(15,2) AS current, start, target_date,
        CASE WHEN state = 'ACTIVE' AND (current + coalesce(more, 0))::DECIMAL(15,2) >= target THEN 'COMPLETED' ELSE state END AS state FROM g LEFT JOIN k ON g.goal_id = k.goal_id""")
 def goal_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("goal_id"), (F.col("o_totalprice") / 1000).cast("decimal(15,2)").alias("amount"))
+    more = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("goal_id"), F.col("o_totalprice").cast("decimal(15,2)").alias("amount"))
     return S.contribute(test_goals(spark, sf_dir), more)
 
 

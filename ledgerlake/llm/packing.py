@@ -38,29 +38,15 @@ def knapsack(prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """In numpy's own loops: threads of a linear algebra library may block beside a JVM's."""
     return np.einsum("ij,j->i", matrix, vector)
 
 
-def inverted(matrix: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan in numpy's own loops: threads of a linear algebra library may block beside a JVM's."""
-    n = len(matrix)
-    work = np.hstack([matrix, np.eye(n)])
-    for k in range(n):
-        at = k + int(np.argmax(np.abs(work[k:, k])))
-        if abs(work[at, k]) < 1e-9:
-            raise np.linalg.LinAlgError("singular basis")
-        if at != k:
-            work[[k, at]] = work[[at, k]]
-        work[k] /= work[k, k]
-        rows = np.flatnonzero(work[:, k])
-        rows = rows[rows != k]
-        work[rows] -= work[rows, k][:, None] * work[k]
-    return work[:, n:]
-
-
-def first_patterns(demand: dict[int, int], size: int) -> list[Counter]:
-    """A first basis: first fit decreasing, where each pattern repeats until one of its lengths runs out."""
-    left, out = dict(sorted(demand.items(), reverse=True)), []
+def first_patterns(demand: dict[int, int], size: int) -> tuple[list[Counter], list[int], list[float]]:
+    """A first basis: first fit decreasing, where each pattern repeats until one of its lengths is spent.
+    Patterns, the length that each spends, and how often each is used."""
+    left: dict[int, float] = dict(sorted(demand.items(), reverse=True))
+    patterns, spends, uses = [], [], []
     while left:
         pattern, space = Counter(), size
         for x, n in left.items():
@@ -68,38 +54,44 @@ def first_patterns(demand: dict[int, int], size: int) -> list[Counter]:
             if take:
                 pattern[x] = take
                 space -= take * x
-        share = min(left[x] / n for x, n in pattern.items())
-        for x, n in pattern.items():
-            left[x] = max(0.0, left[x] - n * share)
         spent = min(pattern, key=lambda x: (left[x] / pattern[x], -x))
-        left.pop(spent)
-        out.append(pattern)
-    return out
+        share = left.pop(spent) / pattern[spent]
+        for x, n in pattern.items():
+            if x != spent:
+                left[x] = max(0.0, left[x] - n * share)
+        patterns.append(pattern)
+        spends.append(spent)
+        uses.append(share)
+    return patterns, spends, uses
 
 
 def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, rounds: int = 60) -> list[tuple[Counter, float]]:
     """Patterns and how often the linear program uses them; stops within `gap` of its bound or after `rounds`.
 
     Each round prices patterns by one knapsack: for every length the best pattern that holds it. Those that
-    still gain at the duals of their turn enter the basis one after another.
+    still gain at the duals of their turn enter the basis one after another. Should rounding errors add up,
+    the first basis, which is exact, is the answer.
     """
-    lengths = np.array(sorted(demand))
-    if not len(lengths):
+    if not demand:
         return []
-    need = np.array([demand[x] for x in lengths], float)
+    patterns, spends, uses = first_patterns(demand, size)
+    first = list(zip(patterns, uses, strict=True))
+    lengths = np.array(sorted(demand))
     row = {int(x): i for i, x in enumerate(lengths)}
-    patterns = first_patterns(demand, size)
-
-    def solve() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        basis = np.zeros((len(lengths), len(lengths)))
-        for j, p in enumerate(patterns):
-            for x, n in p.items():
-                basis[row[x], j] = n
-        inverse = inverted(basis)
-        return inverse, np.maximum(times(inverse, need), 0), inverse.sum(0)
-
-    (inverse, use, duals), turns = solve(), 0
-    sound = list(zip(patterns, use, strict=True))  # as last solved anew
+    need = np.array([demand[int(x)] for x in lengths], float)
+    # no pattern holds a length that an earlier one spent: in that order the basis is triangular
+    order = {x: i for i, x in enumerate(spends)}
+    lower = np.zeros((len(lengths), len(lengths)))
+    for j, pattern in enumerate(patterns):
+        for x, n in pattern.items():
+            lower[order[x], j] = n
+    solved = np.zeros_like(lower)
+    for i in range(len(lengths)):
+        unit = np.zeros(len(lengths))
+        unit[i] = 1.0
+        solved[i] = (unit - np.einsum("j,jk->k", lower[i, :i], solved[:i])) / lower[i, i]
+    inverse = solved[:, [order[int(x)] for x in lengths]]
+    use, duals = np.array(uses), inverse.sum(0)
     prices = np.full(size + 1, -np.inf)
     for _ in range(rounds):
         prices[lengths] = duals
@@ -124,6 +116,8 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
             ratios = np.where(change > 1e-7, use / np.where(change > 1e-7, change, 1), np.inf)
             near = ratios <= ratios.min() + 1e-9 * (1 + ratios.min())
             out = int(np.argmax(np.where(near, change, 0)))  # of tied rows the most stable pivot
+            if not np.isfinite(ratios[out]):
+                continue
             theta, pivot = ratios[out], inverse[out] / change[out]
             inverse -= np.outer(change, pivot)
             inverse[out] = pivot
@@ -131,19 +125,13 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
             use[out] = theta
             np.maximum(use, 0, out=use)
             duals = duals - gain * pivot
-            patterns = [*patterns]
             patterns[out] = pattern
-            turns += 1
-            if turns % 200 == 0:  # against drift
-                try:
-                    inverse, use, duals = solve()
-                except np.linalg.LinAlgError:
-                    return sound
-                sound = list(zip(patterns, use, strict=True))
-    try:
-        return list(zip(patterns, solve()[1], strict=True))
-    except np.linalg.LinAlgError:
-        return sound
+    covered = np.zeros(len(lengths))
+    for pattern, n in zip(patterns, use, strict=True):
+        for x, k in pattern.items():
+            covered[row[x]] += n * k
+    better = np.abs(covered - need).max() < 0.5 and use.sum() < sum(uses)
+    return list(zip(patterns, use.tolist(), strict=True)) if better else first
 
 
 def best_fit(items: Counter, size: int) -> list[Counter]:

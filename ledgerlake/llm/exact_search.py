@@ -36,7 +36,7 @@ def search_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np
         if ints is None:
             return np.einsum("ij,j->i", rows[at], q).astype(np.int64)
         wide = ints[at] @ np.vectorize(int, otypes=[object])(q)
-        return np.array([max(-(2**63), min(2**63 - 1, v)) for v in wide], np.int64)
+        return np.array([max(1 - 2**63, min(2**63 - 1, v)) for v in wide], np.int64)
 
     out = []
     for k, q in enumerate(queries):

@@ -4,12 +4,15 @@ Exact copies (equal sets) are one class each, and classes are joined:
 
 1. Shingles are hashed into groups, the groups into blocks. Two sets that differ in at most d shingles
    have equal group counts in all but d of the blocks; with more than d blocks some block's count vector
-   is equal. So equal vectors of a block, within sizes that can link, give candidate neighbourhoods.
+   is equal. So equal vectors of a block, within sizes that can link, give neighbourhoods.
 2. Each neighbourhood is bulk-loaded into an R-tree over the points of its group counts. The overlap of
    two boxes is at most the sum of the smaller upper corners; boxes, then points, that cannot reach the
-   threshold are dropped. Surviving pairs are verified on the sets, unless they are linked already.
-3. Neighbourhoods beyond a task's size are split. Each part takes the neighbourhood's hub along; after
-   that, only what is still apart from its neighbourhood's largest component visits the other parts.
+   threshold are dropped. What survives, connected, gives clusters: no link crosses them.
+3. Within each cluster the same tree prunes again, and surviving pairs are verified on the sets, unless
+   they are connected already.
+
+Neighbourhoods and clusters beyond a task's size are split. Each part takes the hub along; after that,
+only what is still apart from the largest component visits the other parts.
 """
 
 from __future__ import annotations
@@ -135,38 +138,61 @@ def _links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def tree_join(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, visits: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def count_vector(hashes: np.ndarray) -> bytes:
+    """Size and group counts of a set: at least half as many groups as shingles, a power of two."""
+    groups = 1 << max(4, min(12, (len(hashes) // 2).bit_length()))
+    while True:
+        counts = np.bincount((hashes >> _U(20)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max(initial=0) <= 65535:
+            return np.int32(len(hashes)).tobytes() + counts.astype("<u2").tobytes()
+        groups *= 2
+
+
+def fold(points: list[np.ndarray]) -> np.ndarray:
+    """Count vectors as rows of as many groups as the shortest has."""
+    groups = min(len(p) for p in points)
+    return np.stack([p.reshape(-1, groups).sum(0) for p in points]).astype(np.int64)
+
+
+def narrow(points: np.ndarray, groups: int) -> np.ndarray:
+    return points.reshape(len(points), -1, groups).sum(1) if points.shape[1] > groups else points
+
+
+def tree_join(ids: np.ndarray, bodies: list[bytes], exact: bool, label: np.ndarray, visits: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect what is connected: pairs of a visitor and a resident, or of residents if nobody
-    visits, whose labels differ so far. Boxes of count vectors in a packed R-tree prune."""
-    size = np.array([len(s) for s in sets])
-    groups = 1 << max(5, min(10, int(np.median(size) // 4).bit_length()))
+    visits, whose labels differ so far. Boxes of count vectors in a packed R-tree prune. bodies: sets, and
+    links are verified; or, if not exact, count vectors, and what may overlap enough is linked."""
+    if exact:
+        sets = [np.frombuffer(b, _U) for b in bodies]
+        bodies = [count_vector(s) for s in sets]
+    size = np.array([int(np.frombuffer(b, "<i4", 1)[0]) for b in bodies])
     order = np.lexsort((label, size))  # tiles of like size
-    points = np.zeros((len(sets), groups), np.int32)
-    for k, i in enumerate(order):
-        points[k] = np.bincount((sets[i] >> _U(20)).astype(np.int64) & (groups - 1), minlength=groups)
     size, label, visit = size[order], label[order].copy(), visits[order]
     calls = bool(visit.any())
     starts = np.arange(0, len(order), FAN)
-    upper = np.maximum.reduceat(points, starts)
+    of_leaf = [slice(s, min(s + FAN, len(order))) for s in starts]
+    points = [fold([np.frombuffer(bodies[i], "<u2", -1, 4) for i in order[leaf]]) for leaf in of_leaf]
     least, most = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
-    of_leaf, out = [slice(s, min(s + FAN, len(order))) for s in starts], []
-    for a in range(len(starts)):
-        # the leaves from a on: sizes that can link, boxes that may overlap enough
+    narrowest = min(p.shape[1] for p in points)
+    corners = np.stack([narrow(p, narrowest).max(0) for p in points])
+    out = []
+    for a, left in enumerate(of_leaf):
         later = np.arange(a, len(starts))
-        later = later[(least[later] * num <= most[a] * den)]
-        bound = np.minimum(upper[later], upper[a]).sum(1)
+        later = later[least[later] * num <= most[a] * den]
+        bound = np.minimum(corners[later], corners[a]).sum(1)
         for b in later[bound * (num + den) >= num * (least[a] + least[later])]:
-            left, right = of_leaf[a], of_leaf[b]
+            right = of_leaf[b]
             if (label[left] == label[left.start]).all() and (label[right] == label[left.start]).all():
                 continue
-            overlap = np.minimum(points[left][:, None], points[right][None]).sum(2)
+            groups = min(points[a].shape[1], points[b].shape[1])
+            overlap = np.minimum(narrow(points[a], groups)[:, None], narrow(points[b], groups)[None]).sum(2)
             may = overlap * (num + den) >= num * (size[left][:, None] + size[right][None])
             may &= label[left][:, None] != label[right][None]
             if calls:
                 may &= visit[left][:, None] != visit[right][None]
             for i, j in np.argwhere(may):
                 x, y = left.start + i, right.start + j
-                if (a != b or i < j) and label[x] != label[y] and _links(sets[order[x]], sets[order[y]], num, den):
+                if (a != b or i < j) and label[x] != label[y] and (not exact or _links(sets[order[x]], sets[order[y]], num, den)):
                     label[label == label[y]] = label[x]
                     out.append((int(ids[order[x]]), int(ids[order[y]])))
     return out
@@ -210,23 +236,22 @@ def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(key, "doc_id long, key long")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Adds shingles (the sorted hashes) for text."""
-    rest = [c for c in docs.columns if c != "text"]
+def _bodies(docs: DataFrame, n: int, exact: bool) -> DataFrame:
+    """doc_id, body: the sorted hashes of the set, or its count vector."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ledgerlake.llm.ngram_join import shingle_set
+        from ledgerlake.llm.ngram_join import count_vector, shingle_set
 
         for batch in batches:
-            made = [shingle_set(v.as_py(), n).tobytes() for v in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(made, pa.binary())], names=[*rest, "shingles"])
+            sets = (shingle_set(v.as_py(), n) for v in batch.column(1))
+            made = [s.tobytes() if exact else count_vector(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "body"])
 
-    fields = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in rest)
-    return docs.select(*rest, "text").mapInArrow(build, f"{fields}, shingles binary")
+    return docs.mapInArrow(build, "doc_id long, body binary")
 
 
-def _joined(units: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links found within each (cluster, part) of units (unit, cluster, part, doc_id, label, visits, shingles)."""
+def _joined(units: DataFrame, exact: bool, num: int, den: int) -> DataFrame:
+    """a, b: links within each (cluster, part) of units (unit, cluster, part, doc_id, label, visits, body)."""
     made = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(table: pa.Table) -> pa.Table:
@@ -236,11 +261,11 @@ def _joined(units: DataFrame, num: int, den: int) -> DataFrame:
         order = np.lexsort((columns[2], columns[1], columns[0]))
         cluster, part, ids, label, visits = (c[order] for c in columns)
         cut = np.flatnonzero(np.concatenate(([True], (cluster[1:] != cluster[:-1]) | (part[1:] != part[:-1]), [True])))
-        shingles, out = table.column("shingles"), []
+        bodies, out = table.column("body"), set()
         for lo, hi in zip(cut, cut[1:], strict=False):
             if hi - lo > 1:
-                sets = [np.frombuffer(shingles[int(i)].as_py(), _U) for i in order[lo:hi]]
-                out += tree_join(ids[lo:hi], sets, label[lo:hi], visits[lo:hi].astype(bool), num, den)
+                own = [bodies[int(i)].as_py() for i in order[lo:hi]]
+                out.update(tree_join(ids[lo:hi], own, exact, label[lo:hi], visits[lo:hi].astype(bool), num, den))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=made)
 
     return units.groupBy("unit").applyInArrow(join, "a long, b long")
@@ -267,10 +292,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     keys = _keys(single, n, num, den)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
     shared = materialize(shared, "ngram-shared")
-    edges = keys.join(sized(shared, shared.count()), "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = materialize(components(materialize(edges, "ngram-edges")), "ngram-clusters")
-    links = _linked(texts, signed, clusters, n, num, den)
-    found = materialize(components(links), "ngram-components")
+    members = materialize(keys.join(sized(shared, shared.count()), "key").select("key", "doc_id"), "ngram-members")
+    # neighbourhoods with the same members are one
+    alike = members.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("who"), F.sum(F.xxhash64(F.lit(5), "doc_id") % (1 << 40)).alias("too"))
+    alike = materialize(alike.groupBy("k", "who", "too").agg(F.min("key").alias("key")).select("key", "k"), "ngram-alike")
+    near = join_unique(members, alike.select("key", F.lit(True).alias("own"), "k"), "key", "k", members.count())
+    near = near.where("own").select(F.col("key").alias("cluster"), "doc_id")
+    close = components(_linked(texts, signed, materialize(near, "ngram-near"), False, n, num, den))
+    close = materialize(close.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id")), "ngram-clusters")
+    found = materialize(components(_linked(texts, signed, close, True, n, num, den)), "ngram-components")
 
     # every class or document whose component is not itself
     label = found.select(F.col("node").alias("rep"), "component")
@@ -280,38 +310,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     return out.select("doc_id", "n_shingles", F.coalesce(F.least("by_class", "by_id"), F.col("doc_id")).alias("component_id"))
 
 
-def _linked(texts: DataFrame, signed: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b: links that connect what is connected within each cluster of candidates."""
-    nodes = clusters.count()
-    sizes = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    weight = clusters.join(sizes, clusters["node"] == sizes["doc_id"]).groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
-    weight = materialize(weight.select(F.col("component").alias("cluster"), "k", "shingles", F.greatest(F.ceil(F.col("k") / PART_ROWS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts")), "ngram-weights")
+def _linked(texts: DataFrame, signed: DataFrame, members: DataFrame, exact: bool, n: int, num: int, den: int) -> DataFrame:
+    """a, b: links that connect what is connected within each cluster of members (cluster, doc_id)."""
+    sizes = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    ids = materialize(members.select("doc_id").distinct().join(sizes, "doc_id"), "ngram-ids")
+    nodes, rows = ids.count(), members.count()
+    weight = members.join(sized(ids, nodes), "doc_id").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("doc_id").alias("hub"))
+    parts = F.greatest(F.ceil(F.col("k") / PART_ROWS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
+    weight = materialize(weight.withColumn("parts", parts), "ngram-weights")
     units = 1 + (weight.agg(F.sum("shingles")).first()[0] or 0) // PART_SHINGLES
-    known = join_unique(clusters.select("node", F.col("component").alias("cluster")), weight.select("cluster", "parts", "k"), "cluster", "k", nodes)
-    known = materialize(known.select(F.col("node").alias("doc_id"), "cluster", "parts"), "ngram-known")
-    members = materialize(_sets(texts.join(sized(known, nodes), "doc_id"), n), "ngram-sets")
-
+    known = join_unique(members, weight.select("cluster", "parts", "hub", "k"), "cluster", "k", rows)
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "part")).alias("unit")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
     # the hub of a split cluster is in each of its parts
-    part = F.explode(F.when((F.col("parts") > 1) & (F.col("doc_id") == F.col("cluster")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
-    placed = members.select("*", part.alias("part"))
-    within = placed.select(unit, "cluster", "part", "doc_id", F.col("doc_id").alias("label"), F.lit(0).alias("visits"), "shingles")
-    links = materialize(_joined(within, num, den), "ngram-links")
-
-    split = members.where("parts > 1")
+    part = F.explode(F.when((F.col("parts") > 1) & (F.col("doc_id") == F.col("hub")), every).otherwise(F.array(own)))
+    known = materialize(known, "ngram-known")
+    bodies = materialize(_bodies(texts.join(sized(ids.select("doc_id"), nodes), "doc_id"), n, exact).distinct(), "ngram-bodies")
+    placed = known.select("cluster", "parts", "doc_id", part.alias("part")).join(bodies, "doc_id")
+    within = placed.select(unit, "cluster", "part", "doc_id", F.col("doc_id").alias("label"), F.lit(0).alias("visits"), "body")
+    links = materialize(_joined(within, exact, num, den), "ngram-links")
+
+    split = known.where("parts > 1")
     if not split.take(1):
         return links
-    labels = components(links)
-    split = split.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    split = split.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     split = materialize(split, "ngram-split")
     count = split.groupBy("cluster", "label").agg(F.count("*").alias("m"))
-    main = count.groupBy("cluster").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = split.join(F.broadcast(main) if main.count() <= 10_000 else main, "cluster")  # clusters, not documents
-    stay = open_.select("cluster", "parts", own.alias("part"), "doc_id", "label", F.lit(0).alias("visits"), "shingles")
-    visit = open_.where(F.col("label") != F.col("main")).select("cluster", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "label", F.lit(1).alias("visits"), "shingles")
-    both = stay.union(visit).select(unit, "cluster", "part", "doc_id", "label", "visits", "shingles")
-    return links.union(materialize(_joined(both, num, den), "ngram-links"))
+    main = count.groupBy("cluster").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("m").alias("k")).where("labels > 1")
+    open_ = join_unique(split, materialize(main.select("cluster", "main", "k"), "ngram-main"), "cluster", "k", split.count()).where("main IS NOT NULL")
+    stay = open_.select("cluster", "parts", own.alias("part"), "doc_id", "label", F.lit(0).alias("visits"))
+    visit = open_.where(F.col("label") != F.col("main")).select("cluster", "parts", F.explode(every).alias("part"), "doc_id", "label", F.lit(1).alias("visits"))
+    both = stay.union(visit).join(bodies, "doc_id").select(unit, "cluster", "part", "doc_id", "label", "visits", "body")
+    return links.union(materialize(_joined(both, exact, num, den), "ngram-links"))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _SPACES = re.compile(f"[{_S}][{_S}]")
+#: Signs that spaces may stand in a row; quicker to look for than the pattern.
+_DOUBLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Entries of a worker's cache of pieces; the first seen stay, as frequent pieces come early.
 CACHE = 500_000
 
@@ -52,7 +54,7 @@ class Pieces:
         self.longest = max(map(len, self.vocab))
 
     def simple(self, text: str) -> bool:
-        return not _ODD.search(text)
+        return not _ODD.search(text) if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f") else True
 
     def split(self, text: str) -> list[str]:
         if self.simple(text):
@@ -131,9 +133,11 @@ class PrefixCounts(Pieces, dict):
                 counts[1] = 2  # cut after its second character, apostrophe and letter are pieces by themselves
         return [b - a for a, b in zip([0, *counts], counts)]  # noqa: B905
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def __missing__(self, piece: str) -> bytes:
         d = self.deltas(piece)
-        out = bytes([x & 255 for x in d]) if min(d) > -128 and max(d) < 128 else None
+        if min(d) < -127 or max(d) > 127:
+            raise OverflowError
+        out = bytes([x & 255 for x in d])
         if len(self) < CACHE and len(piece) < 200:
             self[piece] = out
         return out
@@ -141,13 +145,14 @@ class PrefixCounts(Pieces, dict):
     def _ordinary(self, text: str) -> np.ndarray | bytes:
         simple = self.simple(text)
         pieces = _SPLIT.findall(text) if simple else self.split(text)
-        parts = [self[p] for p in pieces]
-        if None in parts:
+        try:
+            stored = b"".join([self[p] for p in pieces])
+        except OverflowError:  # a change beyond a byte
             table = np.array([x for p in pieces for x in self.deltas(p)], np.int64)
-        elif simple and not _SPACES.search(text):
-            return b"".join(parts)
         else:
-            table = np.frombuffer(b"".join(parts), np.int8).astype(np.int64)
+            if simple and not any(x in text for x in _DOUBLE) and (text.isascii() or not _SPACES.search(text)):
+                return stored
+            table = np.frombuffer(stored, np.int8).astype(np.int64)
         return self._spaces(table, pieces)
 
     def _spaces(self, table: np.ndarray, pieces: list[str]) -> np.ndarray:

@@ -318,4 +318,4 @@ def behavior_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behavior.profile(behavior.measures(test_ledger(spark, sf_dir), AS_OF))
 
 
-from . import planning_queries, text_queries  # noqa: E402, F401  they register themselves
+from . import planning_queries, record_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import materialize
+from ledgerlake.llm.common import materialize, sized
 from ledgerlake.llm.line_dedup import drop_repeated_lines
 from ledgerlake.llm.mixing import mix
 from ledgerlake.llm.ngram_join import keep_first, near_duplicates
@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "taken")
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     times = materialize(taken.groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0"), "mixing-times")
-    times = times.withColumnRenamed("doc_id", "_id")
+    times = sized(times.withColumnRenamed("doc_id", "_id"), times.count())
     mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 

@@ -297,8 +297,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     alike = members.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("who"), F.sum(F.xxhash64(F.lit(5), "doc_id") % (1 << 40)).alias("too"))
     alike = materialize(alike.groupBy("k", "who", "too").agg(F.min("key").alias("key")).select("key", "k"), "ngram-alike")
     near = join_unique(members, alike.select("key", F.lit(True).alias("own"), "k"), "key", "k", members.count())
-    near = near.where("own").select(F.col("key").alias("cluster"), "doc_id")
-    close = components(_linked(texts, signed, materialize(near, "ngram-near"), False, n, num, den))
+    near = materialize(near.where("own").select(F.col("key").alias("cluster"), "doc_id"), "ngram-near")
+    # first each document in its largest neighbourhood; then the neighbourhoods that this left in pieces
+    largest = near.join(sized(alike.select(F.col("key").alias("cluster"), "k"), alike.count()), "cluster")
+    largest = largest.groupBy("doc_id").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster")).select("cluster", "doc_id")
+    links = _linked(texts, signed, materialize(largest, "ngram-largest"), False, n, num, den)
+    label = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    label = materialize(label, "ngram-labels")
+    named = near.join(sized(label, label.count()), "doc_id", "left").select("cluster", F.coalesce("label", "doc_id").alias("label"))
+    pieces = materialize(named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo < hi"), "ngram-pieces")
+    rest = join_unique(near, pieces.select("cluster", F.lit(True).alias("own"), "k"), "cluster", "k", members.count()).where("own").select("cluster", "doc_id")
+    close = components(links.union(_linked(texts, signed, materialize(rest, "ngram-rest"), False, n, num, den)))
     close = materialize(close.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id")), "ngram-clusters")
     found = materialize(components(_linked(texts, signed, close, True, n, num, den)), "ngram-components")
 

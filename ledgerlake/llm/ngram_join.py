@@ -285,8 +285,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     rows = signed.count()
     named = signed.where("doc_id IS NOT NULL AND sig IS NOT NULL")
     classes = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "ngram-classes")
-    copies = join_unique(named.select("doc_id", "sig"), classes, "sig", "copies", rows).where("doc_id <> rep").select("doc_id").distinct()
-    copies = materialize(copies, "ngram-copies")
+    # an id that names several sets stays in: it may be what connects them
+    copies = join_unique(named.select("doc_id", "sig"), classes, "sig", "copies", rows).select("doc_id", F.xxhash64("sig").alias("set"), "rep")
+    copies = copies.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.min("rep").alias("rep")).where("lo = hi AND doc_id <> rep")
+    copies = materialize(copies.select("doc_id"), "ngram-copies")
     single = texts.where("doc_id IS NOT NULL").join(sized(copies, copies.count()), "doc_id", "left_anti")
 
     keys = _keys(single, n, num, den)

@@ -58,6 +58,13 @@ def test_join_loses_no_link(spark, monkeypatch, seed, n, num, den, part_rows):
     assert {r.doc_id: r.n_shingles for r in found} == {i: len(shingles(t, n)) for i, t in rows}
 
 
+def test_rows_of_one_id_connect_what_their_texts_link(spark):
+    rows = [(1, "a b c d"), (2, "e f g h"), (3, "a b c d"), (3, "e f g h"), (4, "e f g h"), (5, "x y z"), (6, "a b c d"), (6, "x y z w")]
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 1)}
+
+
 def test_blocks_agree_where_sets_link():
     rng = np.random.default_rng(5)
     for num, den in ((80, 100), (90, 100)):

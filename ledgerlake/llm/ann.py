@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by shifted Hilbert orderings of projected vectors.
 
 Several orderings, each of its own projection and shift, give every vector a key. Equal shares of each
-ordering are blocks; a query meets the vectors of the blocks around its own in each ordering, and the
-exactly measured distances of all orderings are merged. How wide the windows are is fitted, with the
-projection, on a bounded sample: the narrowest that finds `aim` of the sample's true neighbours.
+ordering are blocks, cut by as many bits of the key as their sizes need; a query meets the vectors of the
+blocks around its own in each ordering, and the exactly measured distances of all orderings are merged.
+How wide the windows are is fitted, with the projection, on a bounded sample: the narrowest that finds
+`aim` of the sample's true neighbours.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .vectors import best, matrix, usable
 
 DIMS, BITS = 8, 7
-#: Top bits of a key that make a cell; cells are counted to cut an ordering into blocks.
+#: Bits of a key that are counted at a time to cut an ordering into blocks.
 CELL_BITS = 14
+#: Where a row is in an ordering: its first block of `parts`, and the window of a query there.
+PLACE = ["curve", "first", "parts", "low", "high"]
 #: Window widths, as shares of an ordering, that the fit tries.
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
 
@@ -108,6 +113,61 @@ def fit(sample: np.ndarray, curves: int, k: int, aim: float) -> tuple[Orderings,
     return made, 1.0, 1.0
 
 
+class Blocks:
+    """The blocks of one ordering: the first key of each, and the keys whose rows are dealt over several.
+
+    leaves: (low, first, parts) in the order of low; keys from low on, up to the next leaf's, are in block
+    first or, if parts > 1, all equal low and are dealt over blocks first to first + parts - 1.
+    """
+
+    def __init__(self, leaves: list[tuple[int, int, int]], blocks: int, reach: int):
+        self.low, self.first, self.parts = (np.array(c, np.int64) for c in zip(*sorted(leaves), strict=True))
+        self.blocks, self.reach = blocks, reach
+        # the blocks that go with each: a window that meets a dealt key takes all of its blocks
+        self.begin, self.end = np.arange(blocks), np.arange(blocks)
+        for first, parts in zip(self.first[self.parts > 1], self.parts[self.parts > 1], strict=True):
+            self.begin[first : first + parts] = np.minimum(self.begin[first : first + parts], first)
+            self.end[first : first + parts] = np.maximum(self.end[first : first + parts], first + parts - 1)
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each key its first block, its number of blocks, and the window of a query there."""
+        at = np.searchsorted(self.low, keys, side="right") - 1
+        first, parts = self.first[at], self.parts[at]
+        low = np.maximum(0, first - self.reach)
+        high = np.minimum(self.blocks - 1, first + parts - 1 + self.reach)
+        return first, parts, self.begin[low], self.end[high]
+
+
+def cut(per_curve: DataFrame, block: int) -> dict[int, list[tuple[int, int, int]]]:
+    """For each curve the leaves (see Blocks) of its rows (curve, key), in blocks of about `block` rows.
+
+    Cells of the top bits are counted; those with more rows than a block are counted by the next bits, to
+    the whole key. What comes to the driver is one row for each block or cell larger than a block.
+    """
+    spark, total = per_curve.sparkSession, DIMS * BITS
+    leaves: dict[int, list[tuple[int, int, int]]] = {}
+    rows = per_curve.withColumn("parent", F.lit(0).cast("long")).withColumn("base", F.lit(0).cast("long"))
+    for shift in range(total - CELL_BITS, -1, -CELL_BITS):
+        cells = rows.groupBy("curve", "parent", "base", F.shiftright("key", shift).alias("cell")).agg(F.count("*").alias("n"))
+        before = W.partitionBy("curve", "parent").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # at most 1 << CELL_BITS cells
+        cells = cells.withColumn("at", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        big = F.when(F.col("n") > block, F.col("cell"))
+        groups = cells.groupBy("curve", "parent", F.floor(F.col("at") / block).cast("long").alias("first"), big.alias("big"))
+        found = groups.agg(F.min("cell").alias("cell"), F.min("at").alias("at"), F.sum("n").alias("n")).collect()
+        deeper = []
+        for r in found:
+            if r.big is None or shift == 0:
+                parts = 1 if r.big is None else -(-r.n // block)
+                leaves.setdefault(r.curve, []).append((r.cell << shift, r.first, parts))
+            else:
+                deeper.append((r.curve, r.cell, r["at"]))
+        if not deeper:
+            break
+        inner = F.broadcast(spark.createDataFrame(deeper, "curve int, parent long, base long"))
+        rows = per_curve.withColumn("parent", F.shiftright("key", shift)).join(inner, ["curve", "parent"])
+    return leaves
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4, aim: float = 0.95, sample_rows: int = 4000, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` the k nearest found, by Euclidean
     distance in doubles, ties to the smaller vec_id.
@@ -116,8 +176,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
     no part; vectors of another length than most are searched among themselves with the same orderings'
     rule only if as long as the sample's. vec_id names a vector: the query's own is no candidate, a
     repeated one appears once. An empty table gives no rows. The fit sees a sample of about sample_rows;
-    every row is indexed. A cell with more rows than a block (many equal vectors) is dealt over blocks of
-    its own, all of which a query near it meets, so nothing is cut off.
+    every row is indexed, in the order of whole keys that the fit measured. Rows of one key that are more
+    than a block are dealt over blocks, all of which a query whose window touches one of them meets, so
+    nothing is cut off.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -149,21 +210,30 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
 
     keyed = data.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(key, "vec_id long, embedding array<double>, keys array<long>")
     keyed = materialize(keyed.withColumn("embedding", F.col("embedding").cast("array<float>")) if dict(vectors.dtypes)["embedding"] == "array<float>" else keyed, "ann")
-    per_curve = keyed.select("vec_id", "embedding", F.posexplode("keys").alias("curve", "key")).withColumn("cell", F.shiftright("key", DIMS * BITS - CELL_BITS).cast("int")).drop("key")
-    counts = per_curve.groupBy("curve", "cell").agg(F.count("*").alias("n")).orderBy("curve", "cell").collect()  # at most curves << CELL_BITS
-    start, cells = {}, []
-    for c, cell, n in counts:
-        at = start.get(c, 0)
-        cells.append((c, cell, at // block, max(1, -(-n // block))))
-        start[c] = at + n
+    leaves = cut(keyed.select(F.posexplode("keys").alias("curve", "key")), block)
     blocks = -(-rows // block)
-    reach = 0 if blocks == 1 else int(np.ceil(share * blocks / 2))
-    places = F.broadcast(spark.createDataFrame(cells, "curve int, cell int, first int, parts int"))
-    placed = per_curve.join(places, ["curve", "cell"])
-    indexed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("curve", "block", "vec_id", "embedding")
-    asked = placed.where(F.col("vec_id") % every == 0)
-    window = F.sequence(F.greatest(F.lit(0), F.col("first") - reach), F.least(F.lit(blocks), F.col("first") + F.col("parts") - 1 + reach))
-    asked = asked.select(F.col("curve").alias("c"), F.explode(window).alias("b"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    # a block holds rows whose cells begin in it, so ranks and blocks may differ by one block more
+    reach = 0 if blocks == 1 else int(np.ceil(share * rows / 2 / block)) + 1
+    orders = {c: Blocks(one, blocks, reach) for c, one in leaves.items()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in PLACE]))
+        for batch in batches:
+            keys = np.array(batch.column(2).to_pylist(), np.int64).reshape(batch.num_rows, -1)
+            found = [(np.full(len(keys), c), *orders[c].places(keys[:, c])) for c in range(keys.shape[1])]
+            # rows outside, curves inside
+            columns = [pa.array(np.stack(x, 1).ravel().astype(np.int32)) for x in zip(*found, strict=True)]
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
+            lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, PLACE)).cast(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["vec_id", "embedding", "places"])
+
+    def placed(some: DataFrame) -> DataFrame:
+        fields = [keyed.schema["vec_id"], keyed.schema["embedding"], T.StructField("places", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in PLACE])))]
+        return some.mapInArrow(place, T.StructType(fields)).select("vec_id", "embedding", F.inline("places"))
+
+    indexed = placed(keyed).withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("curve", "block", "vec_id", "embedding")
+    asked = placed(keyed.where(F.col("vec_id") % every == 0))
+    asked = asked.select(F.col("curve").alias("c"), F.explode(F.sequence("low", "high")).alias("b"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     made = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:

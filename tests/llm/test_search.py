@@ -58,6 +58,46 @@ def test_neighbours_have_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_in_a_crowded_cell(spark):
+    """A third of the rows are in one cell of the top bits. Neighbours that are near in the order of keys, as
+    the fit measured them, are all met, within a cell and across its borders."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, size=(3000, 1)).astype(np.float32)
+    x[::3] = rng.uniform(0.6, 0.65, size=(1000, 1))
+    d = np.abs(x.astype(float) - x[:, 0].astype(float))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]  # ties to the smaller id
+    made, share, _ = ann.fit(x.astype(float), 1, 10, 0.95)
+    key = made.keys(x.astype(float))[0]
+    cell = key >> (ann.DIMS * ann.BITS - ann.CELL_BITS)
+    assert np.unique(cell, return_counts=True)[1].max() >= 1000 and share < 0.1
+    rank = np.empty(3000, int)
+    rank[np.argsort(key, kind="stable")] = np.arange(3000)
+    found = {(r.query_id // 10, r.vec_id // 10) for r in ann.nearest(vectors(spark, x, []), k=10, every=10, curves=1, block=16, sample_rows=3000).collect()}
+    pairs = [(q, int(v)) for q in range(3000) for v in near[q]]
+    reached = [p for p in pairs if abs(rank[p[0]] - rank[p[1]]) <= share / 2 * 3000]
+    assert any(cell[q] != cell[v] for q, v in reached)
+    assert [p for p in reached if p not in found] == []
+    assert len(found & set(pairs)) >= 0.95 * len(pairs)
+
+
+def test_blocks_keep_the_order_of_keys(spark):
+    """Rows stand in the block of their rank (of their cell's, at most a block before), at any depth of the cut."""
+    rng = np.random.default_rng(5)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 56, 500), (5 << 50) + rng.integers(0, 1 << 20, 1500), np.full(700, 9 << 45), [0, (1 << 56) - 1]]))
+    block = 64
+    leaves = ann.cut(spark.createDataFrame([(0, int(k)) for k in keys], "curve int, key long"), block)[0]
+    order = ann.Blocks(leaves, -(-len(keys) // block), 1)
+    first, parts, low, high = order.places(keys)
+    once = (keys != 9 << 45)
+    assert (parts[once] == 1).all() and (parts[~once] == 11).all()
+    rank = np.arange(len(keys))
+    assert ((first * block <= rank) & (rank < (first + 2) * block))[once].all()
+    dealt = first[~once][0]
+    meets = (low <= dealt + 10) & (high >= dealt)
+    assert (low[meets] <= dealt).all() and (high[meets] >= dealt + 10).all() and meets[once].any()
+
+
 def test_hilbert_neighbours_differ_in_one_step():
     side = 8
     points = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

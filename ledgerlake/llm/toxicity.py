@@ -3,14 +3,15 @@
 Labels mark documents, so tokens are labelled first: in a bounded sample of labelled documents, tokens and
 their letter patterns that stand far oftener in toxic documents than elsewhere mark toxic tokens; then the
 field is trained on those labels, relabels the toxic documents' tokens (the others have none), and is
-trained again. Scoring runs forward and backward over every token of a text; marginals make spans, and
-their strongest and summed evidence, through a small logistic model, the document's score.
+trained again. Tokens are words; a very long one is read as its parts, down to the last character. Scoring
+runs forward and backward over every token of a text as one chain; marginals make spans, and their strongest and summed evidence, through a small logistic model, the document's score.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +23,46 @@ from pyspark.sql import functions as F
 
 from .common import held_out, text_of
 
-#: Tokens of a chain; longer texts are cut into chains, shorter ones padded.
+#: Tokens of a row; longer texts take several rows, between which messages are carried, shorter ones are padded.
 LENGTH = 64
+#: Longer runs without spaces are read in parts: words with what follows them, long ones in steps of WIDTH
+#: characters that see LAP characters of their neighbours, so that no letter run of a feature is cut.
+LONGEST, WIDTH, LAP = 40, 20, 4
 #: Slots of the hashed feature weights.
 SLOTS = 1 << 18
 _EDGE = re.compile(r"^\W+|\W+$")
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M")
+_PART = re.compile(rf"((?:[^\W_]|[{_MARKS}])+)[\W_]*|[\W_]+")
+
+
+def parts(run: str) -> list[tuple[str, int, int]]:
+    """Token, begin and end of the parts of a long run without spaces; each character is in one of them."""
+    out = []
+    for m in _PART.finditer(run):
+        if m.end() - m.start() <= LONGEST:
+            out.append((m[1] or m[0], m.start(), m.end()))
+        else:
+            for at in range(m.start(), m.end(), WIDTH):
+                end = min(at + WIDTH, m.end())
+                out.append((run[max(m.start(), at - LAP) : min(end + LAP, m.end())], at, end))
+    return out
+
+
+def words(text: str) -> list[str]:
+    """The tokens of a text."""
+    found = text.split()
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [x for w in found for x in ([w] if len(w) <= LONGEST else [p[0] for p in parts(w)])]
+
+
+def places(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of each token in the text."""
+    for m in re.finditer(r"\S+", text):
+        if m.end() - m.start() <= LONGEST:
+            yield m.start(), m.end()
+        else:
+            yield from ((m.start() + a, m.start() + b) for _, a, b in parts(m[0]))
 
 
 def features(token: str) -> np.ndarray:
@@ -34,8 +70,6 @@ def features(token: str) -> np.ndarray:
     import xxhash
 
     word = _EDGE.sub("", token.lower()) or token
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
     names = [f"w={word}"]
     names += [f"p{k}={word[:k]}" for k in (3, 4, 5, 6) if len(word) > k]
     names += [f"s{k}={word[-k:]}" for k in (2, 3, 4) if len(word) > k]
@@ -60,8 +94,8 @@ class Lexicon:
 
 
 def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of these token counts: for each chain slot (rows of LENGTH) the token's place in the flat
-    token list, or -1."""
+    """For texts of these token counts: for each slot (rows of LENGTH) the token's place in the flat token
+    list, or -1; and the rows of each text."""
     per = -(-lengths // LENGTH)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     first = np.repeat(starts, per) + LENGTH * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
@@ -70,14 +104,50 @@ def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(grid < end[:, None], grid, -1), per
 
 
-def marginals(scores: np.ndarray, real: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def carried(odds: np.ndarray, m: np.ndarray, start: float, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages at the edges of rows, `per` of which make a chain: for each row the forward one at its first
+    slot (without that slot's odds) and the backward one at its last slot."""
+    n, length = odds.shape
+    ahead, after = np.ones((2, n)), np.ones((2, n))
+    ahead[1] = np.exp(start)
+    first = (np.cumsum(per) - per)[np.argsort(-per, kind="stable")]  # of the longest chains first
+    active = [int((per > w).sum()) for w in range(1, per.max(initial=0))]
+    if not active:
+        return ahead, after
+    long = np.repeat(per > 1, per)
+    at = np.cumsum(long) - 1  # places of the rows of long chains among themselves
+    some = odds[long]
+    # what a row does to a message: through[i, j] leads from state i in its first slot to j in its last
+    through = np.zeros((2, 2, len(some)))
+    through[0, 0], through[1, 1] = 1.0, some[:, 0]
+    for t in range(1, length):
+        clean = through[:, 0] * m[0, 0] + through[:, 1] * m[1, 0]
+        toxic = (through[:, 0] * m[0, 1] + through[:, 1] * m[1, 1]) * some[:, t]
+        through = np.stack([clean, toxic], 1)
+        through /= through.sum((0, 1))
+    for w, k in enumerate(active, 1):
+        row = first[:k] + w
+        now = np.einsum("in,ijn->jn", ahead[:, row - 1], through[:, :, at[row - 1]])
+        now = np.einsum("in,ij->jn", now, m)
+        ahead[:, row] = now / now.sum(0)
+    for w, k in reversed(list(enumerate(active, 1))):
+        row = first[:k] + w
+        back = np.einsum("ijn,jn->in", through[:, :, at[row]], after[:, row])
+        back = np.einsum("ij,jn->in", m, back)
+        after[:, row - 1] = back / back.sum(0)
+    return ahead, after
+
+
+def marginals(scores: np.ndarray, real: np.ndarray, start: float, moves: np.ndarray, per: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(toxic) of each slot, expected moves (2 by 2) and P(toxic) at chain starts. scores: of toxic against
-    clean; moves: log potentials from (clean, toxic) to (clean, toxic)."""
+    clean; moves: log potentials from (clean, toxic) to (clean, toxic); per: rows of each chain, one if not given."""
     n, length = scores.shape
+    per = np.ones(n, np.int64) if per is None else per
     odds = np.exp(np.clip(np.where(real, scores, -40.0), -40, 40))
     m = np.exp(moves)
+    prior, after = carried(odds, m, start, per)
     ahead = np.empty((length, 2, n))
-    now = np.stack([np.ones(n), odds[:, 0] * np.exp(start)])
+    now = prior * np.stack([np.ones(n), odds[:, 0]])
     now /= now.sum(0)
     ahead[0] = now
     for t in range(1, length):
@@ -87,9 +157,10 @@ def marginals(scores: np.ndarray, real: np.ndarray, start: float, moves: np.ndar
         now = np.stack([clean / total, toxic / total])
         ahead[t] = now
     p = np.empty((n, length))
-    p[:, -1] = ahead[-1, 1]
+    both = ahead[-1] * after
+    p[:, -1] = both[1] / both.sum(0)
     moved = np.zeros((2, 2))
-    back = np.ones((2, n))
+    back = after
     for t in range(length - 2, -1, -1):
         clean, toxic = back[0], back[1] * odds[:, t + 1]
         pair = np.stack([[ahead[t, 0] * m[0, 0] * clean, ahead[t, 0] * m[0, 1] * toxic], [ahead[t, 1] * m[1, 0] * clean, ahead[t, 1] * m[1, 1] * toxic]])
@@ -98,7 +169,11 @@ def marginals(scores: np.ndarray, real: np.ndarray, start: float, moves: np.ndar
         back /= back.sum(0)
         both = ahead[t] * back
         p[:, t] = both[1] / both.sum(0)
-    return p, moved, p[:, 0]
+    first = (np.cumsum(per) - per)[per > 0]
+    inner = np.setdiff1d(np.arange(n), first)  # rows that go on with a chain
+    pair = ahead[-1][:, None, inner - 1] * m[:, :, None] * np.stack([back[0], back[1] * odds[:, 0]])[None, :, inner]
+    moved += (pair / pair.sum((0, 1))).sum(2)
+    return p, moved, p[first, 0]
 
 
 class Field:
@@ -109,8 +184,8 @@ class Field:
         self.start, self.moves = -3.0, np.array([[0.0, -3.0], [0.0, 0.0]])
         self.document = np.array([-4.0, 1.0, 0.0])
 
-    def train(self, lexicon: Lexicon, token: np.ndarray, labels: np.ndarray, grid: np.ndarray, steps: int, decay: float = 0.02) -> None:
-        """Adagrad ascent of the log likelihood of labels (0 or 1 for each token) over the chains of grid."""
+    def train(self, lexicon: Lexicon, token: np.ndarray, labels: np.ndarray, grid: np.ndarray, per: np.ndarray, steps: int, decay: float = 0.02) -> None:
+        """Adagrad ascent of the log likelihood of labels (0 or 1 for each token) over the chains of grid (`per` rows each)."""
         real = grid >= 0
         at = np.where(real, grid, 0)
         gold = np.where(real, labels[at], 0)
@@ -119,12 +194,15 @@ class Field:
         want = np.bincount(types[real], gold[real], size)
         moved_gold = np.zeros((2, 2))
         np.add.at(moved_gold, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
-        start_gold = gold[:, 0].sum()
+        first = (np.cumsum(per) - per)[per > 0]
+        inner = np.setdiff1d(np.arange(len(grid)), first)
+        np.add.at(moved_gold, (gold[inner - 1, -1], gold[inner, 0]), 1)
+        start_gold = gold[first, 0].sum()
         g2, h2, s2 = np.full(SLOTS, 1e-8), np.full((2, 2), 1e-8), 1e-8
         for _ in range(steps):
-            p, moved, first = marginals(lexicon.scores(self.weights)[types], real, self.start, self.moves)
+            p, moved, begun = marginals(lexicon.scores(self.weights)[types], real, self.start, self.moves, per)
             g = lexicon.gradient(want - np.bincount(types[real], p[real], size)) - decay * self.weights
-            h, s = moved_gold - moved, start_gold - first.sum()
+            h, s = moved_gold - moved, start_gold - begun.sum()
             h[0, 0] = h[1, 0] = 0.0  # scores are against clean, whose potentials stay
             g2 += g * g
             h2 += h * h
@@ -157,7 +235,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
 
 def tokens_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct tokens, each token's number, and token counts."""
-    lists = [t.split() for t in texts]
+    lists = [words(t) for t in texts]
     known: dict[str, int] = {}
     flat = np.array([known.setdefault(x, len(known)) for ts in lists for x in ts], np.int64)
     return list(known), flat, np.array([len(ts) for ts in lists], np.int64)
@@ -194,8 +272,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 50)
     doc = np.repeat(np.arange(len(counts)), counts)
     labels = label_tokens(lexicon, token, counts, toxic)[token] & toxic[doc]
     for r in range(rounds):
-        field.train(lexicon, token, labels, grid, steps)
-        p, _, _ = marginals(np.where(real, lexicon.scores(field.weights)[token[np.where(real, grid, 0)]], 0), real, field.start, field.moves)
+        field.train(lexicon, token, labels, grid, per, steps)
+        p, _, _ = marginals(np.where(real, lexicon.scores(field.weights)[token[np.where(real, grid, 0)]], 0), real, field.start, field.moves, per)
         if r < rounds - 1:
             likely = np.zeros(len(token))
             likely[grid[real]] = p[real]
@@ -222,13 +300,13 @@ class Scorer(dict):
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """Document scores, and the (start, end) of the spans whose tokens are likelier toxic than not."""
-        lists = [t.split() for t in texts]
+        lists = [words(t) for t in texts]
         counts = np.array([len(x) for x in lists], np.int64)
         flat = np.fromiter([self[x] for ts in lists for x in ts], float, int(counts.sum()))
         grid, per = chains(counts)
         real = grid >= 0
         if len(grid):
-            p, _, _ = marginals(np.where(real, flat[np.where(real, grid, 0)], 0), real, self.field.start, self.field.moves)
+            p, _, _ = marginals(np.where(real, flat[np.where(real, grid, 0)], 0), real, self.field.start, self.field.moves, per)
         else:
             p = np.empty((0, LENGTH))
         score = 1 / (1 + np.exp(-np.clip((evidence(p, per, real) * self.field.document).sum(1), -30, 30)))
@@ -238,12 +316,12 @@ class Scorer(dict):
         for k, text in enumerate(texts):
             mine, found = hit[starts[k] : starts[k + 1]], []
             if mine.any():
-                for i, m in enumerate(re.finditer(r"\S+", text)) if len(lists[k]) else ():
-                    if i < len(mine) and mine[i]:
+                for i, (begin, end) in enumerate(places(text)):
+                    if mine[i]:
                         if found and i and mine[i - 1]:
-                            found[-1] = (found[-1][0], m.end())
+                            found[-1] = (found[-1][0], end)
                         else:
-                            found.append((m.start(), m.end()))
+                            found.append((begin, end))
             spans.append(found)
         return score, spans
 

@@ -57,6 +57,43 @@ def test_marginals_against_enumeration():
     assert np.allclose(p[0], on / total) and np.isclose(moved.sum(), n - 1)
 
 
+def test_chains_of_several_rows():
+    """Marginals of a chain in rows of four slots are those of the same chain in one row."""
+    rng = np.random.default_rng(3)
+    lengths, wide = np.array([11, 3, 8, 1, 14]), 4
+    moves = np.array([[0.0, -1.0], [0.0, 2.0]])
+    alone, rows, real, per = [], [], [], -(-lengths // wide)
+    moved, begun = np.zeros((2, 2)), []
+    for n in lengths:
+        s = rng.normal(size=(1, n))
+        p, m, first = toxicity.marginals(s, np.ones((1, n), bool), -2.0, moves)
+        alone.append(p[0])
+        moved, begun = moved + m, [*begun, *first]
+        padded = np.pad(s[0], (0, -n % wide))
+        rows.append(padded.reshape(-1, wide))
+        real.append((np.arange(len(padded)) < n).reshape(-1, wide))
+    real = np.concatenate(real)
+    p, m, first = toxicity.marginals(np.concatenate(rows), real, -2.0, moves, per)
+    assert np.allclose(p[real], np.concatenate(alone)) and np.allclose(m, moved) and np.allclose(first, begun)
+
+
+def test_every_character_of_long_runs_is_read():
+    run = "日本語の文" * 30 + ",idiot,_loser_" + "x" * 95 + "=" * 50
+    found = toxicity.parts(run)
+    assert "".join(run[a:b] for _, a, b in found) == run and {"idiot", "loser"} <= {t for t, _, _ in found}
+    text = f" one {run} two"
+    assert [text[a:b] for a, b in toxicity.places(text)] == ["one", *[run[a:b] for _, a, b in found], "two"]
+    assert len(toxicity.words(text)) == len(found) + 2
+    for i in range(20, len(run) - 5):  # a run of five letters is in a token
+        if run[i : i + 5].isalnum():
+            assert any(run[i : i + 5] in t for t, _, _ in found)
+    clean = ["fine.words,of:a/text-glued.together,with;points,and.no.space" + f",n{i}" for i in range(200)]
+    bad = [t.replace("together", "together,idiot") for t in clean[:40]]
+    field = toxicity.train(clean + bad, np.repeat([0, 1], [200, 40]))
+    score, spans = toxicity.Scorer(field).run([clean[0], bad[0]])
+    assert score[0] < 0.5 < score[1] and "idiot" in bad[0][spans[1][0][0] : spans[1][0][1]]
+
+
 def test_quality_on_held_out_documents(spark, tables):
     model = quality.fit_quality(*tables)
     pairs = scores(spark, tables, quality.score_quality(tables[0], model).select("doc_id", "quality_score"), "quality")

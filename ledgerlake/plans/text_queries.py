@@ -238,8 +238,13 @@ query(None)(ocr_corrupted)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table as a stream, whether it is one file or a folder of part files."""
+    place = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(place).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory()
+    rows = reader.parquet(place) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:

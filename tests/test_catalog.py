@@ -16,6 +16,15 @@ def test_query_matches_sql(spark, name):
     assert frame_rows(catalog.QUERIES[name](spark, SF)) == sql_rows(catalog.ORACLE_SQL[name], tables_of(SF))
 
 
+@pytest.mark.parametrize("by", [[], ["event_type"]])
+def test_streams_over_a_folder_of_part_files(spark, tmp_path, by):
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.repartition(3).write.partitionBy(*by).parquet(f"{tmp_path}/events.parquet")
+    for name in ("rate_window", "daily_stream_spend", "new_signals"):
+        got = frame_rows(catalog.QUERIES[name](spark, str(tmp_path)))
+        assert got[1] and got == sql_rows(catalog.ORACLE_SQL[name], tables_of(SF))
+
+
 def test_entry_module_names_every_query(spark):
     import __spark_entry__ as entry
 

@@ -6,34 +6,38 @@ Exact copies (equal sets) are one class each, and classes are joined:
    have equal group counts in all but d of the blocks; with more than d blocks some block's count vector
    is equal. So equal vectors of a block, within sizes that can link, give neighbourhoods.
 2. Each neighbourhood is bulk-loaded into an R-tree over the points of its group counts. The overlap of
-   two boxes is at most the sum of the smaller upper corners; boxes, then points, that cannot reach the
-   threshold are dropped. What survives, connected, gives clusters: no link crosses them.
+   two boxes is at most the sum of the smaller upper corners; boxes, level by level, then points, that
+   cannot reach the threshold are dropped. What survives, connected, gives clusters: no link crosses them.
 3. Within each cluster the same tree prunes again, and surviving pairs are verified on the sets, unless
    they are connected already.
 
-Neighbourhoods and clusters beyond a task's size are split. Each part takes the hub along; after that,
-only what is still apart from the largest component visits the other parts.
+Neighbourhoods and clusters beyond PART_ROWS are split. Each part takes the hub along; after that, only
+what is still apart from the largest component visits the other parts, in blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import join_unique, materialize, sized, text_of
+from .common import drop, held, join_unique, materialize, releasing, sized, text_of
 from .components import components
 
-#: Members, and shingles, that one part of a neighbourhood is planned to hold.
-PART_ROWS, PART_SHINGLES = 1024, 2_000_000
-#: Points of an R-tree's leaf, and leaves of a node.
+#: Members, and shingles, that one part of a neighbourhood, and one unit of work, is planned to hold.
+PART_ROWS, PART_SHINGLES = 256, 500_000
+#: Points of an R-tree's leaf, and children of a node.
 FAN = 16
+#: One document in so many is asked for hot keys.
+SAMPLE = 64
+#: Words whose hashes a worker keeps.
+CACHE = 100_000
 #: Sizes of a stratum are within this ratio.
 RATIO = 1.3
 
@@ -59,22 +63,17 @@ class Words(dict):
         import xxhash
 
         out = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < CACHE and len(word) < 64:
             self[word] = out
         return out
 
 
-@lru_cache(maxsize=1)
-def words_cache() -> Words:
-    return Words()
-
-
 def shingle_set(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams, A-Z lower-cased; the whole of shorter texts."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters, space and 9 to 13
     if not words:
         return np.empty(0, _U)
-    cache = words_cache()
+    cache = held("ngram-words", Words)
     w = np.fromiter([cache[x] for x in words], _U, len(words))
     with np.errstate(over="ignore"):
         if len(w) < n:
@@ -143,58 +142,82 @@ def count_vector(hashes: np.ndarray) -> bytes:
     groups = 1 << max(4, min(12, (len(hashes) // 2).bit_length()))
     while True:
         counts = np.bincount((hashes >> _U(20)).astype(np.int64) & (groups - 1), minlength=groups)
-        if counts.max(initial=0) <= 65535:
-            return np.int32(len(hashes)).tobytes() + counts.astype("<u2").tobytes()
+        if counts.max(initial=0) <= 255:
+            return np.int32(len(hashes)).tobytes() + counts.astype(np.uint8).tobytes()
         groups *= 2
 
 
 def fold(points: list[np.ndarray]) -> np.ndarray:
     """Count vectors as rows of as many groups as the shortest has."""
     groups = min(len(p) for p in points)
-    return np.stack([p.reshape(-1, groups).sum(0) for p in points]).astype(np.int64)
+    return np.stack([p.reshape(-1, groups).sum(0, np.int64) for p in points])
 
 
 def narrow(points: np.ndarray, groups: int) -> np.ndarray:
     return points.reshape(len(points), -1, groups).sum(1) if points.shape[1] > groups else points
 
 
+def near_leaves(least: np.ndarray, most: np.ndarray, corners: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a <= b) of an R-tree's leaves that may hold a link, from the root down. A box has the least and
+    largest size in it and the upper corner of its group counts; sizes ascend from leaf to leaf."""
+    levels = [(least, most, corners)]
+    while len(levels[-1][0]) > FAN:
+        starts = np.arange(0, len(levels[-1][0]), FAN)
+        low, high, corner = levels[-1]
+        levels.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(corner, starts)))
+    a, b = np.triu_indices(len(levels[-1][0]))
+    while True:
+        low, high, corner = levels.pop()
+        near = low[b] * num <= high[a] * den
+        a, b = a[near], b[near]
+        near = np.minimum(corner[a], corner[b]).sum(1) * (num + den) >= num * (low[a] + low[b])
+        a, b = a[near], b[near]
+        if not levels:
+            return a, b
+        # the children of both, each pair once
+        count, step = len(levels[-1][0]), np.arange(FAN)
+        x = (a[:, None, None] * FAN + step[:, None] + 0 * step).ravel()
+        y = (b[:, None, None] * FAN + step[None, :] + 0 * step[:, None]).ravel()
+        inside = (x < count) & (y < count) & (x <= y)
+        a, b = x[inside], y[inside]
+
+
 def tree_join(ids: np.ndarray, bodies: list[bytes], exact: bool, label: np.ndarray, visits: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected: pairs of a visitor and a resident, or of residents if nobody
-    visits, whose labels differ so far. Boxes of count vectors in a packed R-tree prune. bodies: sets, and
-    links are verified; or, if not exact, count vectors, and what may overlap enough is linked."""
+    """Stars (document, the smallest of its component) that connect what is linked and not yet labelled alike:
+    pairs of a visitor and a resident, or of residents if nobody visits. Boxes of count vectors in a packed
+    R-tree prune. bodies: sets, and links are verified; or, if not exact, count vectors, and what may overlap
+    enough is linked."""
     if exact:
         sets = [np.frombuffer(b, _U) for b in bodies]
         bodies = [count_vector(s) for s in sets]
     size = np.array([int(np.frombuffer(b, "<i4", 1)[0]) for b in bodies])
     order = np.lexsort((label, size))  # tiles of like size
-    size, label, visit = size[order], label[order].copy(), visits[order]
+    size, first, visit = size[order], label[order], visits[order]
+    label = first.copy()
     calls = bool(visit.any())
     starts = np.arange(0, len(order), FAN)
-    of_leaf = [slice(s, min(s + FAN, len(order))) for s in starts]
-    points = [fold([np.frombuffer(bodies[i], "<u2", -1, 4) for i in order[leaf]]) for leaf in of_leaf]
-    least, most = np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)
+    points = [fold([np.frombuffer(bodies[i], np.uint8, -1, 4) for i in order[s : s + FAN]]) for s in starts]
     narrowest = min(p.shape[1] for p in points)
     corners = np.stack([narrow(p, narrowest).max(0) for p in points])
+    for a, b in zip(*near_leaves(np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts), corners, num, den), strict=True):
+        left, right = (slice(starts[k], starts[k] + FAN) for k in (a, b))
+        if (label[left] == label[left.start]).all() and (label[right] == label[left.start]).all():
+            continue
+        groups = min(points[a].shape[1], points[b].shape[1])
+        overlap = np.minimum(narrow(points[a], groups)[:, None], narrow(points[b], groups)[None]).sum(2)
+        may = overlap * (num + den) >= num * (size[left][:, None] + size[right][None])
+        may &= label[left][:, None] != label[right][None]
+        if calls:
+            may &= visit[left][:, None] != visit[right][None]
+        for i, j in np.argwhere(may):
+            x, y = left.start + i, right.start + j
+            if (a != b or i < j) and label[x] != label[y] and (not exact or _links(sets[order[x]], sets[order[y]], num, den)):
+                label[label == label[y]] = label[x]
     out = []
-    for a, left in enumerate(of_leaf):
-        later = np.arange(a, len(starts))
-        later = later[least[later] * num <= most[a] * den]
-        bound = np.minimum(corners[later], corners[a]).sum(1)
-        for b in later[bound * (num + den) >= num * (least[a] + least[later])]:
-            right = of_leaf[b]
-            if (label[left] == label[left.start]).all() and (label[right] == label[left.start]).all():
-                continue
-            groups = min(points[a].shape[1], points[b].shape[1])
-            overlap = np.minimum(narrow(points[a], groups)[:, None], narrow(points[b], groups)[None]).sum(2)
-            may = overlap * (num + den) >= num * (size[left][:, None] + size[right][None])
-            may &= label[left][:, None] != label[right][None]
-            if calls:
-                may &= visit[left][:, None] != visit[right][None]
-            for i, j in np.argwhere(may):
-                x, y = left.start + i, right.start + j
-                if (a != b or i < j) and label[x] != label[y] and (not exact or _links(sets[order[x]], sets[order[y]], num, den)):
-                    label[label == label[y]] = label[x]
-                    out.append((int(ids[order[x]]), int(ids[order[y]])))
+    for one in np.unique(label[label != first]):
+        mine = label == one
+        heads = ids[order[mine][np.unique(first[mine], return_index=True)[1]]]  # a document of each former label
+        out += [(int(x), int(heads.min())) for x in heads if x != heads.min()]
     return out
 
 
@@ -204,7 +227,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ledgerlake.llm.ngram_join import mix64, shingle_set
 
-        for batch in batches:
+        for batch in releasing(batches):
             counts, sigs = [], []
             for value in batch.column(1):
                 s = shingle_set(value.as_py(), n)
@@ -222,7 +245,7 @@ def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         from ledgerlake.llm.ngram_join import Strata, shingle_set
 
         strata = Strata(num, den)
-        for whole in batches:
+        for whole in releasing(batches):
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 got = []
@@ -236,31 +259,56 @@ def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(key, "doc_id long, key long")
 
 
+def _members(docs: DataFrame, rows: int, n: int, num: int, den: int) -> DataFrame:
+    """key, doc_id of the keys that several documents have. Keys meet in one shuffle; one that is hot in a
+    sample of the documents is shared for certain and is dealt out, so that no task gets all of its rows."""
+    keys = _keys(docs, n, num, den)
+    some = _keys(docs.where(F.pmod(F.xxhash64(F.lit(21), "doc_id"), F.lit(SAMPLE)) == 0), n, num, den)
+    hot = materialize(some.groupBy("key").count().where(F.col("count") > max(256, rows // SAMPLE // 1000)).select("key", F.lit(True).alias("hot")), "ngram-hot")
+    count = hot.count()
+    if count:
+        keys = keys.join(sized(hot, count), "key", "left")
+    else:
+        keys = keys.withColumn("hot", F.lit(None).cast("boolean"))
+    keys = keys.withColumn("turn", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(0))
+    alone = W.partitionBy("key", "turn") if count else W.partitionBy("key")
+    met = keys.withColumn("lo", F.min("doc_id").over(alone)).withColumn("hi", F.max("doc_id").over(alone))
+    return met.where("hot OR lo < hi").select("key", "doc_id")
+
+
 def _bodies(docs: DataFrame, n: int, exact: bool) -> DataFrame:
-    """doc_id, body: the sorted hashes of the set, or its count vector."""
+    """docs with shingles, body in place of text: the size of the set, and its sorted hashes or its count vector."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ledgerlake.llm.ngram_join import count_vector, shingle_set
 
-        for batch in batches:
-            sets = (shingle_set(v.as_py(), n) for v in batch.column(1))
-            made = [s.tobytes() if exact else count_vector(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "body"])
+        for whole in releasing(batches):
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sizes, made = [], []
+                for value in batch.column(len(kept)):
+                    s = shingle_set(value.as_py(), n)
+                    sizes.append(len(s))
+                    made.append(s.tobytes() if exact else count_vector(s))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=[*kept, "shingles", "body"])
 
-    return docs.mapInArrow(build, "doc_id long, body binary")
+    out = T.StructType([*[docs.schema[c] for c in kept], T.StructField("shingles", T.LongType()), T.StructField("body", T.BinaryType())])
+    return docs.select(*kept, "text").mapInArrow(build, out)
 
 
 def _joined(units: DataFrame, exact: bool, num: int, den: int) -> DataFrame:
-    """a, b: links within each (cluster, part) of units (unit, cluster, part, doc_id, label, visits, body)."""
+    """a, b: stars within each (cluster, part, block) of units (unit, cluster, part, block, doc_id, label, visits, body)."""
     made = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def join(table: pa.Table) -> pa.Table:
         from ledgerlake.llm.ngram_join import tree_join
 
-        columns = [table.column(c).to_numpy() for c in ("cluster", "part", "doc_id", "label", "visits")]
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        cluster, part, ids, label, visits = (c[order] for c in columns)
-        cut = np.flatnonzero(np.concatenate(([True], (cluster[1:] != cluster[:-1]) | (part[1:] != part[:-1]), [True])))
+        columns = [table.column(c).to_numpy() for c in ("cluster", "part", "block", "doc_id", "label", "visits")]
+        order = np.lexsort(columns[3::-1])
+        cluster, part, block, ids, label, visits = (c[order] for c in columns)
+        new = (cluster[1:] != cluster[:-1]) | (part[1:] != part[:-1]) | (block[1:] != block[:-1])
+        cut = np.flatnonzero(np.concatenate(([True], new, [True])))
         bodies, out = table.column("body"), set()
         for lo, hi in zip(cut, cut[1:], strict=False):
             if hi - lo > 1:
@@ -284,77 +332,104 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     signed = materialize(_signed(texts, n), "ngram-signed")
     rows = signed.count()
     named = signed.where("doc_id IS NOT NULL AND sig IS NOT NULL")
+    again = bool(named.groupBy("doc_id").count().where("count > 1").take(1))
     classes = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "ngram-classes")
+    several = classes.count()
     # an id that names several sets stays in: it may be what connects them
-    copies = join_unique(named.select("doc_id", "sig"), classes, "sig", "copies", rows).select("doc_id", F.xxhash64("sig").alias("set"), "rep")
+    copies = join_unique(named.select("doc_id", "sig"), classes, "sig", "copies", rows, several, sig=16).select("doc_id", F.xxhash64("sig").alias("set"), "rep")
     copies = copies.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.min("rep").alias("rep")).where("lo = hi AND doc_id <> rep")
     copies = materialize(copies.select("doc_id"), "ngram-copies")
     single = texts.where("doc_id IS NOT NULL").join(sized(copies, copies.count()), "doc_id", "left_anti")
 
-    keys = _keys(single, n, num, den)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    shared = materialize(shared, "ngram-shared")
-    members = materialize(keys.join(sized(shared, shared.count()), "key").select("key", "doc_id"), "ngram-members")
+    members = materialize(_members(single, rows, n, num, den), "ngram-members")
+    met = members.count()
     # neighbourhoods with the same members are one
     alike = members.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("who"), F.sum(F.xxhash64(F.lit(5), "doc_id") % (1 << 40)).alias("too"))
     alike = materialize(alike.groupBy("k", "who", "too").agg(F.min("key").alias("key")).select("key", "k"), "ngram-alike")
-    near = join_unique(members, alike.select("key", F.lit(True).alias("own"), "k"), "key", "k", members.count())
-    near = materialize(near.where("own").select(F.col("key").alias("cluster"), "doc_id"), "ngram-near")
+    several_keys = alike.count()
+    near = join_unique(members, alike.select("key", F.lit(True).alias("own"), "k"), "key", "k", met, several_keys).where("own")
+    near = materialize(near.select(F.col("key").alias("cluster"), "doc_id"), "ngram-near")
+    drop(copies, members)
     # first each document in its largest neighbourhood; then the neighbourhoods that this left in pieces
-    largest = near.join(sized(alike.select(F.col("key").alias("cluster"), "k"), alike.count()), "cluster")
-    largest = largest.groupBy("doc_id").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster")).select("cluster", "doc_id")
-    links = _linked(texts, signed, materialize(largest, "ngram-largest"), False, n, num, den)
-    label = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    label = materialize(label, "ngram-labels")
-    named = near.join(sized(label, label.count()), "doc_id", "left").select("cluster", F.coalesce("label", "doc_id").alias("label"))
-    pieces = materialize(named.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo < hi"), "ngram-pieces")
-    rest = join_unique(near, pieces.select("cluster", F.lit(True).alias("own"), "k"), "cluster", "k", members.count()).where("own").select("cluster", "doc_id")
-    close = components(links.union(_linked(texts, signed, materialize(rest, "ngram-rest"), False, n, num, den)))
-    close = materialize(close.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id")), "ngram-clusters")
-    found = materialize(components(_linked(texts, signed, close, True, n, num, den)), "ngram-components")
+    largest = near.join(sized(alike.select(F.col("key").alias("cluster"), "k"), several_keys), "cluster")
+    largest = largest.groupBy("doc_id").agg(F.max(F.struct("k", "cluster"))["cluster"].alias("cluster"))
+    largest = materialize(largest.select("cluster", "doc_id", F.col("doc_id").alias("label")), "ngram-largest")
+    ids = largest.select("doc_id")
+    points = _bodies(texts.join(sized(ids, largest.count()), "doc_id", "left_semi"), n, False)
+    points = materialize(points.distinct() if again else points, "ngram-points")
+    sizes = points.groupBy("doc_id").agg(F.max("shingles").alias("n"))
+    sizes = sized(sizes, points.count())
+
+    def with_point(placed: DataFrame, rows: int) -> DataFrame:
+        return sized(placed, rows).join(points, "doc_id")
+
+    def with_set(placed: DataFrame, rows: int) -> DataFrame:
+        made = _bodies(texts.join(sized(placed, rows), "doc_id"), n, True)
+        return made.distinct() if again else made
+
+    stars = _linked(with_point, sizes, largest, False, num, den)
+    label = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    labelled = near.join(sized(label, label.count()), "doc_id", "left").select("cluster", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    pieces = labelled.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    pieces = materialize(pieces.select("cluster", F.lit(True).alias("own"), "k"), "ngram-pieces")
+    rest = join_unique(labelled, pieces, "cluster", "k", met, pieces.count()).where("own").select("cluster", "doc_id", "label")
+    rest = materialize(rest, "ngram-rest")
+    close = components(label.select(F.col("doc_id").alias("a"), F.col("label").alias("b")).union(_linked(with_point, sizes, rest, False, num, den)))
+    close = close.select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"), F.col("node").alias("label"))
+    close = materialize(close, "ngram-clusters")
+    drop(alike, near, largest, pieces, rest)
+    found = components(_linked(with_set, sizes, close, True, num, den))
+    drop(close, points)
 
     # every class or document whose component is not itself
     label = found.select(F.col("node").alias("rep"), "component")
     reps = classes.join(label, "rep", "left").select("sig", F.coalesce("component", "rep").alias("by_class"), "copies")
-    out = join_unique(signed, reps, "sig", "copies", rows)
-    out = out.join(label.select(F.col("rep").alias("doc_id"), F.col("component").alias("by_id")), "doc_id", "left")
+    out = join_unique(signed, reps, "sig", "copies", rows, several, sig=16)
+    by_id = label.select(F.col("rep").alias("doc_id"), F.col("component").alias("by_id"))
+    out = out.join(sized(by_id, found.count()), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.least("by_class", "by_id"), F.col("doc_id")).alias("component_id"))
 
 
-def _linked(texts: DataFrame, signed: DataFrame, members: DataFrame, exact: bool, n: int, num: int, den: int) -> DataFrame:
-    """a, b: links that connect what is connected within each cluster of members (cluster, doc_id)."""
-    sizes = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    ids = materialize(members.select("doc_id").distinct().join(sizes, "doc_id"), "ngram-ids")
-    nodes, rows = ids.count(), members.count()
-    weight = members.join(sized(ids, nodes), "doc_id").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("doc_id").alias("hub"))
+def _linked(with_body: Callable[[DataFrame, int], DataFrame], sizes: DataFrame, members: DataFrame, exact: bool, num: int, den: int) -> DataFrame:
+    """a, b: stars that connect what is linked within each cluster of members (cluster, doc_id, label) and not
+    labelled alike. with_body: adds body to counted rows with a doc_id; sizes: doc_id, n of all members."""
+    rows = members.count()
+    weight = members.select("cluster", "doc_id").join(sizes, "doc_id").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("doc_id").alias("hub"))
     parts = F.greatest(F.ceil(F.col("k") / PART_ROWS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
     weight = materialize(weight.withColumn("parts", parts), "ngram-weights")
-    units = 1 + (weight.agg(F.sum("shingles")).first()[0] or 0) // PART_SHINGLES
-    known = join_unique(members, weight.select("cluster", "parts", "hub", "k"), "cluster", "k", rows)
+    total = weight.agg(F.sum("shingles"), F.count("*"), F.max("parts"), F.sum("parts")).first()
+    units = 1 + max((total[0] or 0) // PART_SHINGLES, rows // PART_ROWS)
+    known = join_unique(members, weight.select("cluster", "parts", "hub", "k"), "cluster", "k", rows, total[1])
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "part")).alias("unit")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     # the hub of a split cluster is in each of its parts
-    part = F.explode(F.when((F.col("parts") > 1) & (F.col("doc_id") == F.col("hub")), every).otherwise(F.array(own)))
-    known = materialize(known, "ngram-known")
-    bodies = materialize(_bodies(texts.join(sized(ids.select("doc_id"), nodes), "doc_id"), n, exact).distinct(), "ngram-bodies")
-    placed = known.select("cluster", "parts", "doc_id", part.alias("part")).join(bodies, "doc_id")
-    within = placed.select(unit, "cluster", "part", "doc_id", F.col("doc_id").alias("label"), F.lit(0).alias("visits"), "body")
+    part = F.explode(F.when((F.col("parts") > 1) & (F.col("doc_id") == F.col("hub")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "part")).alias("unit")
+    placed = known.select("cluster", "parts", "doc_id", "label", part.alias("part")).select(unit, "cluster", "part", "doc_id", "label")
+    within = with_body(placed, rows + (total[3] or 0)).withColumns({"block": F.lit(0), "visits": F.lit(0)})
     links = materialize(_joined(within, exact, num, den), "ngram-links")
-
-    split = known.where("parts > 1")
-    if not split.take(1):
+    if (total[2] or 1) == 1:
+        drop(weight)
         return links
-    labels = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    split = split.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    split = known.where("parts > 1")
+    labels = components(links.union(known.where("doc_id <> label").select("doc_id", "label")))
+    labels = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
+    split = split.join(labels, "doc_id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
     split = materialize(split, "ngram-split")
     count = split.groupBy("cluster", "label").agg(F.count("*").alias("m"))
-    main = count.groupBy("cluster").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("m").alias("k")).where("labels > 1")
-    open_ = join_unique(split, materialize(main.select("cluster", "main", "k"), "ngram-main"), "cluster", "k", split.count()).where("main IS NOT NULL")
-    stay = open_.select("cluster", "parts", own.alias("part"), "doc_id", "label", F.lit(0).alias("visits"))
-    visit = open_.where(F.col("label") != F.col("main")).select("cluster", "parts", F.explode(every).alias("part"), "doc_id", "label", F.lit(1).alias("visits"))
-    both = stay.union(visit).join(bodies, "doc_id").select(unit, "cluster", "part", "doc_id", "label", "visits", "body")
-    return links.union(materialize(_joined(both, exact, num, den), "ngram-links"))
+    main = count.groupBy("cluster").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels"), F.sum("m").alias("k")).where("labels > 1")
+    # visitors come in blocks, each of which meets the residents of every part
+    blocks = F.ceil((F.col("k") - F.col("most.m")) / PART_ROWS).cast("int").alias("blocks")
+    main = materialize(main.select("cluster", F.col("most.label").alias("main"), blocks, "k"), "ngram-main")
+    open_ = join_unique(split, main, "cluster", "k", split.count(), main.count()).where("main IS NOT NULL")
+    stay = open_.select("cluster", own.alias("part"), every("blocks").alias("block"), "doc_id", "label", F.lit(0).alias("visits"))
+    turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.col("blocks")).cast("int").alias("block")
+    visit = open_.where(F.col("label") != F.col("main")).select("cluster", every("parts").alias("part"), turn, "doc_id", "label", F.lit(1).alias("visits"))
+    both = stay.union(visit).withColumn("unit", F.xxhash64("cluster", "part", "block"))
+    both = materialize(both, "ngram-visits")
+    visited = materialize(_joined(with_body(both, both.count()), exact, num, den), "ngram-links")
+    drop(weight, split, main, both)
+    return links.union(visited)
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

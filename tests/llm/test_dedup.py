@@ -124,6 +124,26 @@ def test_line_dedup_against_plain_loop(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ("gone", "_lines", "_doc", "_hash", "_kept", "row", "doc", "hash", "at", "lines", "kept", "window", "first")
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb\nc"), (None, "a\nb\nc\nd")]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in rows], f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    out = drop_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+        assert (r.text, r.n_removed) == {1: ("a\nb\nc", 0), 2: ("x", 3), None: ("d", 3)}[r.doc_id]
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """With every key hot, no link is lost."""
+    monkeypatch.setattr(nj, "SAMPLE", 1)
+    monkeypatch.setattr(nj, "max", lambda *a: 1, raising=False)
+    rows = corpus(6)
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 3, 80, 100)
+
+
 def test_line_dedup_of_messy_rows(messy, nothing):
     out = drop_repeated_lines(messy.withColumnRenamed("lang", "n_lines"))
     rows = out.collect()

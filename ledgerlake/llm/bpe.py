@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import array
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 #: Where the fast split holds: no letter, digit or space outside these classes below U+0250, no odd controls.
 _ODD = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
@@ -15,8 +16,8 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _SPACES = re.compile(f"[{_S}][{_S}]")
 #: Signs that spaces may stand in a row; quicker to look for than the pattern.
 _DOUBLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
-#: Entries of a worker's cache of pieces; the first seen stay, as frequent pieces come early.
-CACHE = 500_000
+#: Entries of a worker's caches; the first seen stay, as frequent pieces come early.
+CACHE = 100_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -44,6 +45,10 @@ class Pieces:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or model["type"] != "BPE" or not plain:
+            raise ValueError(f"{path}: only byte-level BPE with the usual split, without a normalizer, is counted here")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -209,11 +214,9 @@ class PackedIds(Pieces, dict):
         return b"".join([self[p] for p in _SPLIT.findall(text)])
 
 
-@lru_cache(maxsize=4)
 def prefix_counts(path: str) -> PrefixCounts:
-    return PrefixCounts(path)
+    return held(("prefixes", path), lambda: PrefixCounts(path))
 
 
-@lru_cache(maxsize=4)
 def packed_ids(path: str) -> PackedIds:
-    return PackedIds(path)
+    return held(("ids", path), lambda: PackedIds(path))

@@ -10,6 +10,7 @@ rounding leaves over (a bounded number, whatever the corpus) are packed best fit
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import materialize, text_of
+from .common import materialize, releasing, text_of
 from .token_counts import default_vocabulary
 
 
@@ -70,7 +71,7 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
 
     Each round prices patterns by one knapsack: for every length the best pattern that holds it. Those that
     still gain at the duals of their turn enter the basis one after another. Should rounding errors add up,
-    the first basis, which is exact, is the answer.
+    the first basis, which is exact, is the answer, and a warning says so.
     """
     if not demand:
         return []
@@ -130,8 +131,10 @@ def generate_patterns(demand: dict[int, int], size: int, gap: float = 1e-3, roun
     for pattern, n in zip(patterns, use, strict=True):
         for x, k in pattern.items():
             covered[row[x]] += n * k
-    better = np.abs(covered - need).max() < 0.5 and use.sum() < sum(uses)
-    return list(zip(patterns, use.tolist(), strict=True)) if better else first
+    if not (np.abs(covered - need) <= 0.5 + 1e-9 * need).all():
+        logging.getLogger(__name__).warning("the linear program lost %g rests to rounding; first fit decreasing stands in", np.abs(covered - need).max())
+        return first
+    return list(zip(patterns, use.tolist(), strict=True)) if use.sum() < sum(uses) else first
 
 
 def best_fit(items: Counter, size: int) -> list[Counter]:
@@ -202,7 +205,7 @@ def encode(docs: DataFrame, size: int, path: str, end_id: int = 0) -> DataFrame:
         packed, part = packed_ids(path), TaskContext.get().partitionId()
         end, before = int(end_id).to_bytes(4, "little"), Counter()
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        for batch in batches:
+        for batch in releasing(batches):
             rows: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = packed.ids(value.as_py()) + end

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, text_of
+from .common import held, held_out, text_of
 
 FEATURES = (
     "log_words", "log_lines", "mean_word", "long_words", "one_letter", "distinct_words", "top_word", "same_as_before",
@@ -51,7 +50,12 @@ def features(text: str) -> list[float]:
     sizes = np.array([len(w) for w in known])
     odd = np.array([w[-1] in _MARKS for w in known])
     lines = [x for x in text.split("\n") if x.strip()]
-    triple = ids[:-2] * 1_000_003 + ids[1:-1] * 1009 + ids[2:] if n > 2 else ids[:1]
+    triple = ids[:1]
+    if n > 2:
+        pair = ids[:-1] * len(known) + ids[1:]
+        if len(known) > 2_000_000:  # the code of a triple would not fit
+            pair = np.unique(pair, return_inverse=True)[1]
+        triple = pair[:-1] * len(known) + ids[2:]
     size = len(raw)
     per = times / n
     return [
@@ -176,9 +180,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 250, pair_rounds: int = 80
     return model
 
 
-@lru_cache(maxsize=2)
 def loaded(model: bytes) -> Additive:
-    return pickle.loads(model)
+    return held(model, lambda: pickle.loads(model))
 
 
 def measure(docs: DataFrame) -> DataFrame:

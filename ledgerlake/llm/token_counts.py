@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import releasing, text_of
 
 
 def default_vocabulary() -> str:
@@ -41,7 +41,7 @@ def prefix_token_counts(df: DataFrame, text: str = "text", path: str | None = No
         from ledgerlake.llm.bpe import prefix_counts
 
         counter = prefix_counts(path)
-        for whole in batches:
+        for whole in releasing(batches):
             for at in range(0, whole.num_rows, 500):  # the tables of a few texts at a time
                 batch = whole.slice(at, 500)
                 sizes, tokens, widths, tables = [], [], [], []

@@ -13,21 +13,23 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest as slot
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of
+from .common import held, held_out, releasing, text_of
 
 #: Tokens of a row; longer texts take several rows, between which messages are carried, shorter ones are padded.
 LENGTH = 64
 #: Longer runs without spaces are read in parts: words with what follows them, long ones in steps of WIDTH
 #: characters that see LAP characters of their neighbours, so that no letter run of a feature is cut.
 LONGEST, WIDTH, LAP = 40, 20, 4
+#: Distinct tokens whose scores a worker keeps.
+CACHE = 100_000
 #: Slots of the hashed feature weights.
 SLOTS = 1 << 18
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -65,17 +67,18 @@ def places(text: str) -> Iterator[tuple[int, int]]:
             yield from ((m.start() + a, m.start() + b) for _, a, b in parts(m[0]))
 
 
-def features(token: str) -> np.ndarray:
-    """Slots of a token's features: the bare word, its starts and ends, and inner letter runs."""
-    import xxhash
-
+def names(token: str) -> list[str]:
+    """A token's features: the bare word, its starts and ends, and inner letter runs."""
     word = _EDGE.sub("", token.lower()) or token
-    names = [f"w={word}"]
-    names += [f"p{k}={word[:k]}" for k in (3, 4, 5, 6) if len(word) > k]
-    names += [f"s{k}={word[-k:]}" for k in (2, 3, 4) if len(word) > k]
-    names += [f"g={word[i : i + 5]}" for i in range(1, max(1, len(word) - 4))]
-    names.append(f"l={min(len(word), 15)},{word[:4]}")
-    return np.array([xxhash.xxh3_64_intdigest(x) & (SLOTS - 1) for x in names], np.int64)
+    out = [f"w={word}", f"l={min(len(word), 15)},{word[:4]}"]
+    out += [f"p{k}={word[:k]}" for k in (3, 4, 5, 6) if len(word) > k]
+    out += [f"s{k}={word[-k:]}" for k in (2, 3, 4) if len(word) > k]
+    return out + [f"g={word[i : i + 5]}" for i in range(1, len(word) - 4)]
+
+
+def features(token: str) -> list[int]:
+    """Slots of a token's features."""
+    return [slot(x) & (SLOTS - 1) for x in names(token)]
 
 
 class Lexicon:
@@ -84,7 +87,7 @@ class Lexicon:
     def __init__(self, tokens: list[str]):
         parts = [features(t) for t in tokens]
         self.at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        self.flat = np.array([x for p in parts for x in p], np.int64)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights[self.flat], self.at[:-1]) if len(self.flat) else np.empty(0)
@@ -257,7 +260,7 @@ def label_tokens(lexicon: Lexicon, token: np.ndarray, counts: np.ndarray, toxic:
     return np.maximum.reduceat(strong[lexicon.flat], lexicon.at[:-1]).astype(np.int64) if size else np.empty(0, np.int64)
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 50) -> Field:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 25) -> Field:
     """The field from texts and their documents' labels (0 or 1)."""
     field = Field()
     if not len(texts) or toxic.min() == toxic.max():
@@ -290,11 +293,11 @@ class Scorer(dict):
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field = field
+        self.field, self.weights = field, field.weights.tolist()
 
     def __missing__(self, token: str) -> float:
-        out = float(self.field.weights[features(token)].sum())
-        if len(self) < 400_000:
+        out = sum(map(self.weights.__getitem__, features(token)))
+        if len(self) < CACHE and len(token) <= LONGEST:
             self[token] = out
         return out
 
@@ -326,26 +329,34 @@ class Scorer(dict):
         return score, spans
 
 
-@lru_cache(maxsize=2)
 def scorer(model: bytes) -> Scorer:
-    return Scorer(pickle.loads(model))
+    return held(model, lambda: Scorer(pickle.loads(model)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000) -> bytes:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_tokens: int = 1_000_000, longest: int = 200_000) -> bytes:
     """A trained field from labels (doc_id, toxic) of docs (doc_id, text), without the held out ids.
 
-    It sees about sample_rows labelled documents, picked by a hash of their id; which ones does not depend
-    on their order. Labels that are null or of unknown documents are left out.
+    It sees a bounded sample of labelled documents, taken in the order of a hash of their id: about
+    sample_rows of them, none with a text over `longest` bytes, and of those in turn each that keeps all
+    within sample_tokens. Which ones does not depend on the order of rows. Labels that are null or of
+    unknown documents are left out. All texts are scored, whatever their length.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id")))
     rows = known.count()
     share = min(1.0, sample_rows / max(1, rows))
     part = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("doc_id", "toxic")
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(part), "doc_id")  # about sample_rows ids
+    sample = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(part), "doc_id")  # about sample_rows ids
+    sample = sample.withColumn("turn", F.xxhash64(F.lit(12), "doc_id")).orderBy("turn", "doc_id", "text", "toxic").limit(2 * sample_rows)  # ids may repeat
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text", "toxic"])
+        pdf = pdf.sort_values(["turn", "doc_id", "text", "toxic"])
+        left, kept = sample_tokens, []
+        for text in pdf.text:
+            n = len(words(text))
+            kept.append(n <= left)
+            left -= n * kept[-1]
+        pdf = pdf[kept]
         field = train(pdf.text.tolist(), (pdf.toxic.to_numpy() > 0).astype(np.int64))
         return pd.DataFrame({"model": [pickle.dumps(field)]})
 
@@ -373,7 +384,7 @@ def score_toxicity(docs: DataFrame, model: bytes) -> DataFrame:
 
         field = scorer(shared.value)
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        for whole in batches:
+        for whole in releasing(batches):
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 score, spans = field.run([x or "" for x in batch.column(place).to_pylist()])

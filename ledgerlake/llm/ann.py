@@ -10,6 +10,7 @@ How wide the windows are is fitted, with the projection, on a bounded sample: th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, sized
 from .vectors import best, matrix, usable
 
 DIMS, BITS = 8, 7
+#: Queries that meet a block in one task.
+QUERIES = 8192
 #: Bits of a key that are counted at a time to cut an ordering into blocks.
 CELL_BITS = 14
 #: Where a row is in an ordering: its first block of `parts`, and the window of a query there.
@@ -67,7 +70,7 @@ class Orderings:
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
         self.mean = sample.mean(0)
-        _, axes = np.linalg.eigh(np.cov((sample - self.mean).T).reshape(d, d))
+        _, axes = np.linalg.eigh(np.cov((sample - self.mean).T).reshape(d, d) if len(sample) > 1 else np.eye(d))
         axes = axes[:, ::-1]  # most varied first
         self.maps, self.low, self.step, self.shift = [], [], [], []
         for c in range(curves):
@@ -81,6 +84,11 @@ class Orderings:
             self.step.append(np.maximum(high - low, 1e-12))
             self.shift.append(rng.uniform(0, 0.5, DIMS))
 
+    def first(self, curves: int) -> "Orderings":
+        for x in (self.maps, self.low, self.step, self.shift):
+            del x[curves:]
+        return self
+
     def keys(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
         for m, low, step, shift in zip(self.maps, self.low, self.step, self.shift, strict=True):
@@ -90,7 +98,9 @@ class Orderings:
 
 
 def fit(sample: np.ndarray, curves: int, k: int, aim: float) -> tuple[Orderings, float, float]:
-    """The orderings, the window's share of an ordering, and the recall it has in the sample."""
+    """The orderings, the window's share of an ordering, and the recall it has in the sample. Of one to
+    `curves` orderings as many as reach the recall with the fewest vectors met: a few wide windows would
+    cost more than one that is wider."""
     made = Orderings(sample, curves)
     queries = np.arange(0, len(sample), max(1, len(sample) // 200))
     norms = np.square(sample).sum(1)
@@ -98,19 +108,20 @@ def fit(sample: np.ndarray, curves: int, k: int, aim: float) -> tuple[Orderings,
     d[np.arange(len(queries)), queries] = np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
-        return made, 1.0, 1.0
+        return Orderings(sample, 1), 1.0, 1.0
     near = np.argpartition(d, k - 1, axis=1)[:, :k]
     gaps = []
     for key in made.keys(sample):
         rank = np.empty(len(sample), int)
         rank[np.argsort(key, kind="stable")] = np.arange(len(sample))
         gaps.append(np.abs(rank[near] - rank[queries][:, None]))
-    gap = np.min(gaps, axis=0) / len(sample)
-    for share in SHARES:
-        recall = float((gap <= share / 2).mean())
-        if recall >= aim:
-            return made, share, recall
-    return made, 1.0, 1.0
+    found = [(1.0, 1, 1.0, 1.0)]  # cost, orderings, share, recall
+    for c in range(1, curves + 1):
+        gap = np.min(gaps[:c], axis=0) / len(sample)
+        reached = [(c * share, c, share, recall) for share in SHARES[:-1] if (recall := float((gap <= share / 2).mean())) >= aim]
+        found += reached[:1]
+    _, used, share, recall = min(found)
+    return made.first(used), share, recall
 
 
 class Blocks:
@@ -173,28 +184,30 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
     distance in doubles, ties to the smaller vec_id.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
-    no part; vectors of another length than most are searched among themselves with the same orderings'
-    rule only if as long as the sample's. vec_id names a vector: the query's own is no candidate, a
-    repeated one appears once. An empty table gives no rows. The fit sees a sample of about sample_rows;
-    every row is indexed, in the order of whole keys that the fit measured. Rows of one key that are more
-    than a block are dealt over blocks, all of which a query whose window touches one of them meets, so
-    nothing is cut off.
+    no part; vectors of each length are searched among themselves, by an index of their own. vec_id names a
+    vector: the query's own is no candidate, a repeated one appears once, with its least distance. An empty
+    table gives no rows. The fit sees a sample of about sample_rows; every row is indexed, in the order of
+    whole keys that the fit measured. Rows of one key that are more than a block are dealt over blocks, all
+    of which a query whose window touches one of them meets, so nothing is cut off.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     data = usable(vectors, zero=False)
-    sizes = data.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dims, rows = sizes
-    data = data.where(F.col("dims") == dims)
+    sizes = data.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()  # a row for each length
+    found = [_nearest(data.where(F.col("dims") == dims), rows, k, every, curves, aim, sample_rows, block) for dims, rows in sizes]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return best(reduce(DataFrame.union, found), k, descending=False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest(data: DataFrame, rows: int, k: int, every: int, curves: int, aim: float, sample_rows: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: what the orderings of vectors of one length find, k for each query and block."""
     chance = min(1.0, sample_rows / rows)
     sample = data.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
 
-        x = np.array(pdf.sort_values("vec_id").embedding.tolist(), float)
+        rows = np.array(pdf.embedding.tolist(), float)
+        x = rows[np.lexsort((*rows.T[::-1], pdf.vec_id.to_numpy()))]  # the same fit whatever the order of rows
         made, share, recall = fit(x, curves, k, aim)
         return pd.DataFrame({"model": [pickle.dumps(made)], "share": [share], "recall": [recall]})
 
@@ -209,7 +222,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(np.stack(made.keys(matrix(t)), 1)), pa.list_(pa.int64()))], names=["vec_id", "embedding", "keys"])
 
     keyed = data.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(key, "vec_id long, embedding array<double>, keys array<long>")
-    keyed = materialize(keyed.withColumn("embedding", F.col("embedding").cast("array<float>")) if dict(vectors.dtypes)["embedding"] == "array<float>" else keyed, "ann")
+    keyed = materialize(keyed.withColumn("embedding", F.col("embedding").cast("array<float>")) if dict(data.dtypes)["embedding"] == "array<float>" else keyed, "ann")
     leaves = cut(keyed.select(F.posexplode("keys").alias("curve", "key")), block)
     blocks = -(-rows // block)
     # a block holds rows whose cells begin in it, so ranks and blocks may differ by one block more
@@ -233,7 +246,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
 
     indexed = placed(keyed).withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("curve", "block", "vec_id", "embedding")
     asked = placed(keyed.where(F.col("vec_id") % every == 0))
-    asked = asked.select(F.col("curve").alias("c"), F.explode(F.sequence("low", "high")).alias("b"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = asked.select("curve", F.explode(F.sequence("low", "high")).alias("block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    # a block that more queries meet than a task holds meets them in turns
+    crowded = asked.groupBy("curve", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")).where("turns > 1")
+    crowded = materialize(crowded, "ann-crowded")
+    turns = sized(crowded, crowded.count())
+    last = F.coalesce(F.col("turns"), F.lit(1)) - 1
+    indexed = indexed.join(turns, ["curve", "block"], "left").withColumn("turn", F.explode(F.sequence(F.lit(0), last))).drop("turns")
+    asked = asked.join(turns, ["curve", "block"], "left").withColumn("turn", F.pmod(F.xxhash64("query_id"), last + 1).cast("int")).drop("turns")
     made = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -242,13 +262,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
         ids, own = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
         x, q = matrix(left), matrix(right, "query")
         norms, out = np.square(x).sum(1), []
+        # so many of the nearest rows hold k ids at least, and more than rounding mixes up
+        keep = min(len(x), 4 * k * int(np.unique(ids, return_counts=True)[1].max()))
         for lo in range(0, len(q), 256):
             some = q[lo : lo + 256]
             rough = norms[None] - 2 * some @ x.T
             for j, row in enumerate(rough):
                 row = np.where(ids == own[lo + j], np.inf, row)
-                bound = np.partition(row, min(4 * k, len(row)) - 1)[min(4 * k, len(row)) - 1]
-                at = np.flatnonzero((row <= bound) & (row < np.inf))
+                at = np.flatnonzero((row <= np.partition(row, keep - 1)[keep - 1]) & (row < np.inf))
                 score = np.sqrt(np.square(x[at] - some[j]).sum(1))
                 order = np.lexsort((ids[at], score))
                 at, score = at[order], score[order]
@@ -257,5 +278,5 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = 4,
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], schema=made)
 
-    found = indexed.groupBy("curve", "block").cogroup(asked.groupBy("c", "b")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return best(found, k, descending=False).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    keys = ["curve", "block", "turn"]
+    return indexed.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -117,3 +117,17 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(none).count() == 0 and exact_search.top_inner_products(none).count() == 0
     again = exact_search.top_inner_products(vectors(spark, np.vstack([x, x])).withColumn("vec_id", __import__("pyspark").sql.functions.col("vec_id") % 30), k=5, every=10).collect()
     assert sorted((r.query_id, r.vec_id) for r in again) == [(0, 10), (0, 20), (10, 0), (10, 20), (20, 0), (20, 10)]
+
+
+def test_repeated_ids_one_vector_and_other_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 8))
+    copies = [(50, [float(v) for v in x[0] + 0.001 * k]) for k in range(60)]  # sixty near copies of one id
+    short = [(1000 + 10 * k, [1.0 * k + 1]) for k in range(3)]
+    found = ann.nearest(vectors(spark, x, copies + short), k=10, every=10).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(v) == len(set(v)) == 10 for q, v in by.items() if q < 1000) and len(by[0]) == 10
+    assert sorted(by[1000]) == [1010, 1020] and sorted(by[1020]) == [1000, 1010]
+    assert ann.nearest(vectors(spark, x[:1], [])).count() == 0

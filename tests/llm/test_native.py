@@ -50,6 +50,22 @@ def test_rules(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_a_long_list_of_rules(spark):
+    """20,000 rules, of which some block and some allow, against a plain loop."""
+    rules = [("block" if k % 3 else "allow", f"h{k}.example.{'com' if k % 2 else 'net'}", "/" * (k % 5 > 0) + "a" * (k % 5)) for k in range(20_000)]
+    listed = {h + p: v for v, h, p in rules}
+    urls = [f"http://{'w.' * (k % 2)}h{k * 7}.example.{'com' if k % 4 else 'net'}/aa{'a' * (k % 4)}?x" for k in range(3000)]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), tuple(rules)).collect()
+    assert len(rows) == 3000
+    for r in rows:
+        labels = r.host.split(".")
+        fit = [".".join(labels[i:]) + r.path[:n] for i in range(len(labels)) for n in range(len(r.path) + 1)]
+        fit = [k for k in fit if k in listed]
+        want = max(fit, key=len) if fit else None
+        assert r.rule == want and r.verdict == (listed[want] if want else "allow")
+    assert sum(r.rule is not None for r in rows) > 500
+
+
 def test_cascade_is_exact_even_with_small_filters(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("key LIKE '%7'")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, materialize, sized, text_of
 
 #: Rows that one bucket of a stream, or one range of finish times, is planned to hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

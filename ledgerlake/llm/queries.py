@@ -15,7 +15,7 @@ def op1_toxicity_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text by a conditional random field trained without the held out labels."""
     from .toxicity import fit_toxicity, score_toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
@@ -24,21 +24,21 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 1.5 times the corpus takes of each document."""
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("first_finish")
+    return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("first_finish")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the passages of three lines and more that stand elsewhere before."""
     from .line_dedup import drop_repeated_lines
 
-    return drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text from its prefix table."""
     from .token_counts import prefix_token_counts
 
-    counted = prefix_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counted = prefix_token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
@@ -46,28 +46,28 @@ def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found of every vector whose id is divisible by 100."""
     from .ann import nearest
 
-    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose word 3-grams agree to nine tenths."""
     from .ngram_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, num=90, den=100)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text by an additive model trained without the held out labels."""
     from .quality import fit_quality, score_quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
@@ -76,14 +76,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     from .url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every vector whose id is divisible by 50."""
     from .exact_search import top_inner_products
 
-    return top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return top_inner_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

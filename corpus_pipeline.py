@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import materialize, sized
+from ledgerlake.llm.common import drop, materialize, sized
 from ledgerlake.llm.line_dedup import drop_repeated_lines
 from ledgerlake.llm.mixing import mix
 from ledgerlake.llm.ngram_join import keep_first, near_duplicates
@@ -13,8 +13,14 @@ from ledgerlake.llm.packing import pack
 from ledgerlake.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so fewer of them at a time go between Spark and its Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a conditional random field, trained on the labels, holds for toxic go."""
+    small_batches(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where("toxicity < 0.5").select(*docs.columns)
 
@@ -30,6 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose word 5-grams agree to four fifths the first stays."""
+    small_batches(spark)
     return keep_first(docs, near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100))
 
 
@@ -46,6 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
     return pack(docs.select("doc_id", "text"))
 
 
@@ -58,6 +66,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,6 +35,15 @@ def recommendations(leaks: DataFrame, goals: DataFrame | None = None) -> DataFra
     return rows.withColumn("rank", rank).where(F.col("rank") <= TOP).select("user_id", "rank", "action", "monthly")
 
 
+def redirects(leaks: DataFrame, goals: DataFrame) -> DataFrame:
+    """user_id, goal_id, monthly: what all leaks of a user could pay into the active goal that is due next
+    (ties by goal_id; without a date last), where that is over 100 a month."""
+    due = F.row_number().over(W.partitionBy("user_id").orderBy(F.asc_nulls_last("target_date"), "goal_id"))
+    nearest = goals.where("state = 'ACTIVE'").withColumn("n", due).where("n = 1").select("user_id", "goal_id")
+    sums = leaks.groupBy("user_id").agg(F.sum("monthly").cast("decimal(19,2)").alias("monthly")).where(F.col("monthly") > LEAST)
+    return sums.join(nearest, "user_id").select("user_id", "goal_id", "monthly")
+
+
 def savings(recommended: DataFrame) -> DataFrame:
     """user_id, monthly, net: the sum over recommendations, and without the redirected share counted again."""
     own = F.when(F.col("action") != "REDIRECT_TO_GOAL", F.col("monthly")).otherwise(0)

@@ -21,10 +21,13 @@ ALERT_AMOUNT, ALERT_RATIO, ALERT_HIGH, ALERTS, ALERT_DAYS = 200, 1.3, 2.0, 3, 45
 def between(ledger: DataFrame, start: date | None = None, end: date | None = None, **equal: str) -> DataFrame:
     """Rows within the bounds, both ends included, whose columns equal what is given; None does not filter."""
     out = ledger
+    by_month = "month" in ledger.columns  # as stored: other months are not read
     if start is not None:
         out = out.where(F.col("date") >= F.lit(start))
+        out = out.where(F.col("month") >= f"{start:%Y-%m}") if by_month else out
     if end is not None:
         out = out.where(F.col("date") <= F.lit(end))
+        out = out.where(F.col("month") <= f"{end:%Y-%m}") if by_month else out
     for name, value in equal.items():
         if value is not None:
             out = out.where(F.col(name) == value)
@@ -45,6 +48,18 @@ def totals(ledger: DataFrame, start: date | None, end: date | None) -> DataFrame
     return rows.withColumn("net", (F.col("income") - F.col("spend")).cast("decimal(29,4)"))
 
 
+def summary(ledger: DataFrame, start: date | None, end: date) -> DataFrame:
+    """user_id, income, spend, net, entries, categories, top_category, top_merchant, alerts: the overview of a
+    period in one row a user. start: the first of end's month, if not given."""
+    start = start or end.replace(day=1)
+    kinds = by_category(ledger, start, end).groupBy("user_id")
+    kinds = kinds.agg(F.count("*").alias("categories"), F.min(F.struct((-F.col("total")).alias("t"), "category"))["category"].alias("top_category"))
+    shop = top_merchants(ledger, start, end, 1).select("user_id", F.col("merchant").alias("top_merchant"))
+    warned = spend_alerts(ledger, start, end, end).groupBy("user_id").agg(F.count("*").alias("alerts"))
+    out = totals(ledger, start, end).join(kinds, "user_id", "left").join(shop, "user_id", "left").join(warned, "user_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("categories", "alerts")})
+
+
 def bounds(ledger: DataFrame) -> DataFrame:
     """user_id, first, last, entries, months (how many have an entry)."""
     return ledger.groupBy("user_id").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("entries"), F.countDistinct(F.trunc("date", "MM")).alias("months"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
@@ -29,14 +32,69 @@ def patch(ledger: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(*made, confidence.alias("confidence"), reviewed.alias("reviewed"))
 
 
-def quota(users: DataFrame, used: DataFrame) -> DataFrame:
-    """users (user_id, quota, unlimited) with used (rows of it) and remaining (0 at least; null if unlimited), open."""
+def quota(users: DataFrame, used: DataFrame, month: date | None = None, at: str = "created_at") -> DataFrame:
+    """users (user_id, quota, unlimited) with used (rows of it; with month those of that calendar month) and
+    remaining (0 at least; null if unlimited), open."""
+    if month is not None:
+        used = used.where(F.trunc(at, "MM") == F.lit(month.replace(day=1)))
     counts = used.groupBy("user_id").agg(F.count("*").alias("used"))
     rows = users.join(counts, "user_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     left = F.greatest(F.lit(0), F.col("quota") - F.col("used"))
     return rows.withColumn("remaining", F.when(~F.col("unlimited"), left)).withColumn("open", F.col("unlimited") | (left > 0))
 
 
+def counters(events: DataFrame, key: str = "user_id", at: str = "at") -> DataFrame:
+    """key, count: increments since the last reset of each key, over events (kind INCREMENT or RESET)."""
+    last = F.max(F.when(F.col("kind") == "RESET", F.col(at)))
+    counted = events.join(events.groupBy(key).agg(last.alias("reset")), key)
+    live = (F.col("kind") == "INCREMENT") & (F.col("reset").isNull() | (F.col(at) > F.col("reset")))
+    return counted.groupBy(key).agg(F.count(F.when(live, 1)).alias("count"))
+
+
+#: What comes first in each listing; ties by the columns after.
+ORDERS = {
+    "detected": (("confirmed", "desc"), ("amount", "desc_nulls_last"), ("key", "asc")),
+    "stored": (("amount", "desc_nulls_first"), ("key", "asc")),
+    "budgets": (("category", "asc_nulls_first"),),
+    "newest": (("created_at", "desc"), ("id", "desc")),
+}
+
+
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """rows with place, from 1 for each user, in one of ORDERS."""
+    by = [getattr(F.col(c), way)() for c, way in ORDERS[order]]
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(*by)))
+
+
+def ui_signals(leaks: DataFrame, behaviours: DataFrame, most: int = 5) -> DataFrame:
+    """user_id, place, origin, kind, severity: leaks and behaviours together, the most severe first, of like ones leaks."""
+    rank = {"HIGH": 1, "MEDIUM": 2, "LOW": 3}
+    severe = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in rank.items()], F.lit(4))
+    rows = leaks.select("user_id", F.lit("LEAK").alias("origin"), "kind", "severity", "rank").unionByName(behaviours.select("user_id", F.lit("PATTERN").alias("origin"), "kind", "severity", "rank"))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(severe, "origin", "rank", "kind"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("user_id", "place", "origin", "kind", "severity")
+
+
+def entered(requests: DataFrame) -> DataFrame:
+    """Ledger rows of entries by hand (id, user_id, amount, date, description, merchant, category, type): amounts
+    without sign, texts cleaned, reviewed, source MANUAL."""
+    return _made(requests, F.upper("type"), "MANUAL")
+
+
+def confirmed(receipts: DataFrame) -> DataFrame:
+    """Ledger rows of receipts that a user confirmed (id, user_id, amount, date, merchant, category, notes): debits
+    of at least 0.01, reviewed, source OCR; the description is the notes, or the merchant."""
+    rows = receipts.where(F.col("amount") >= F.lit(0.01).cast("decimal(19,4)")).withColumn("description", F.coalesce("notes", "merchant"))
+    return _made(rows, F.lit("DEBIT"), "OCR")
+
+
+def _made(rows: DataFrame, kind: Column, source: str) -> DataFrame:
+    return rows.select(
+        "id", "user_id", F.abs("amount").cast("decimal(19,4)").alias("amount"), "date", safe_text(F.col("description"), 500).alias("description"), safe_text(F.col("merchant")).alias("merchant"),
+        F.coalesce("category", F.lit("OTHER")).alias("category"), kind.alias("type"), F.lit(source).alias("source"), F.lit(True).alias("reviewed"),
+    )
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child whose key is set but unknown to parent."""
     known = parent.select(F.col(parent_key).alias("_k")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,41 @@ def simulate(base: DataFrame, scenarios: DataFrame) -> DataFrame:
     return out.withColumn("score_change", change).withColumn("new_tier", flexibility_tier(c("new_score"))).drop("_bound")
 
 
+def _added(c: Callable[[str], Column]) -> Column:
+    """What a scenario adds to recurring payments a month."""
+    return F.when(c("kind") == "RECURRING_EXPENSE", c("amount")).when(c("kind") == "LOAN_EMI", c("instalment")).otherwise(0).cast("decimal(19,2)")
+
+
+def explanation(simulated: DataFrame) -> DataFrame:
+    """user_id, kind, reason: why the flexibility score changes, in one word."""
+    change, added = F.col("new_score") - F.col("score"), _added(F.col)
+    reason = F.when(change >= 3, "MORE_FREE").when(change <= -10, "MUCH_LESS_FREE").when((change <= -3) & (added > 0), "MORE_BOUND").when(change <= -3, "LESS_FREE").otherwise("MARGINAL")
+    return simulated.select("user_id", "kind", reason.alias("reason"))
+
+
+def effects(simulated: DataFrame) -> DataFrame:
+    """user_id, kind, code, severity: what follows from a scenario (simulated, with category, null for none):
+    cash flow, recurring load, a shift of the top category, a delayed goal (delay in months, if there is such
+    a column), a change of tier."""
+    c = F.col
+    zero = F.lit(0).cast("decimal(19,2)")
+    grade = lambda share: F.when(share < 10, "NEUTRAL").when(share < 25, "CAUTION").otherwise("WARNING")
+    percent = lambda part, whole: F.when(whole > 0, part.cast("double") / whole.cast("double") * 100).otherwise(100.0)
+    said = lambda code, severity: F.struct(F.lit(code).alias("code"), severity.alias("severity"))
+    once, added = c("kind") == "ONE_TIME_PURCHASE", _added(F.col)
+    cash = F.when(once, said("CASH_FLOW", F.lit("CAUTION"))).when(c("impact") > 0, said("SAVINGS_BOOST", F.lit("POSITIVE")))
+    cash = cash.otherwise(said("CASH_FLOW", grade(percent(F.abs("impact"), c("discretionary")))))
+    load = F.when(added != zero, said("RECURRING_LOAD", F.when(added < zero, "POSITIVE").otherwise(grade(percent(added, c("recurring"))))))
+    monthly = F.when(once, money(c("amount").cast("double") / 12)).otherwise(F.abs("amount"))
+    shift = (c("category") == c("top_category")) | (monthly > c("top_spend"))
+    shift = F.when(c("category").isNotNull() & c("top_category").isNotNull() & shift, said("CATEGORY_SHIFT", F.lit("CAUTION")))
+    moved = F.when(flexibility_tier(c("score")) != c("new_tier"), said("OPPORTUNITY_COST", F.when(c("new_score") > c("score"), "POSITIVE").otherwise("WARNING")))
+    found = [cash, load, shift, moved]
+    if "delay" in simulated.columns:
+        found.insert(3, F.when(c("delay") > 0, said("GOAL_DELAY", F.lit("WARNING"))))
+    return simulated.select("user_id", "kind", F.inline(F.array_compact(F.array(*found))))
+
+
 def projection(simulated: DataFrame) -> DataFrame:
     """user_id, kind, month (1 to 12), before, after: cumulative savings without and with the scenario."""
     c = F.col

@@ -12,7 +12,8 @@ SCHEMA = "id long, user_id long, amount decimal(19,4), date date, description st
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    """With month (yyyy-MM), the partition column: overview.between reads the months of its range only."""
+    return spark.read.schema(f"{SCHEMA}, month string").parquet(path)
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:

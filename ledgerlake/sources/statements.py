@@ -38,8 +38,12 @@ def split_records(name: str, content: bytes) -> Iterator[tuple[str, int, list[st
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """file, row_number, headers, cells of every record of the CSV files under path, one task for some files.
-    Empty, larger than 5 MB and other than .csv files give no rows."""
-    files = spark.read.format("binaryFile").load(path).where((F.col("length") > 0) & (F.col("length") <= MOST_BYTES) & F.lower("path").endswith(".csv"))
+    Empty, larger than 5 MB and other than .csv files give one row without headers, which parse_statements
+    turns into an error."""
+    found = spark.read.format("binaryFile").load(path)
+    fits = (F.col("length") > 0) & (F.col("length") <= MOST_BYTES) & F.lower("path").endswith(".csv")
+    files = found.where(fits)
+    refused = found.where(~fits).select(F.col("path").alias("file"), F.lit(0).alias("row_number"), F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("map<string,string>").alias("cells"))
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -47,7 +51,7 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(split_records(name, content))
                 yield pd.DataFrame(rows, columns=["file", "row_number", "headers", "cells"])
 
-    return files.select("path", "content").mapInPandas(records, RAW)
+    return files.select("path", "content").mapInPandas(records, RAW).unionByName(refused)
 
 
 def header_of(role: str) -> Column:
@@ -94,7 +98,7 @@ def parse_statements(raw: DataFrame) -> DataFrame:
     out = out.unionByName(changed.select("file", "row_number", "layout", "date", "description", "amount", "is_debit", "merchant", "raw_text", "confidence", missing.alias("error")))
     unknown = rows.where("layout = 'UNKNOWN'").groupBy("file").agg(F.min("row_number").alias("row_number"))
     nothing = {"date": "date", "description": "string", "amount": "decimal(19,4)", "is_debit": "boolean", "merchant": "string", "raw_text": "string", "confidence": "decimal(5,4)"}
-    unknown = unknown.select("file", "row_number", F.lit("UNKNOWN").alias("layout"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.lit("unknown statement layout").alias("error"))
+    unknown = unknown.select("file", "row_number", F.lit("UNKNOWN").alias("layout"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.when(F.col("row_number") == 0, "empty, too large or not a CSV file").otherwise("unknown statement layout").alias("error"))
     return out.unionByName(unknown)
 
 

@@ -1,4 +1,4 @@
-"""Streams over ledger events: rate windows, daily spend, signals that are new. The same code runs on tables."""
+"""Streams over ledger events: rate windows, daily spend, signals that are new. The same functions take tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 LIMITS = {"auth": (60, 5), "upload": (3600, 30), "reset_request": (3600, 5), "reset_confirm": (3600, 10)}
 
 
+#: Buckets of users in what each_batch stores.
+BUCKETS = 256
+
+
 def rate_windows(events: DataFrame, key: str, kind: str, late: str = "1 day", at: str = "ts") -> DataFrame:
     """key, window_start, count, rejected: events by fixed window, and how many are over the limit.
 
@@ -33,7 +37,8 @@ def daily_spend(events: DataFrame, late: str = "2 days", at: str = "ts") -> Data
 
 
 def new_signals(signals: DataFrame, late: str = "30 days", at: str = "ts") -> DataFrame:
-    """The first HIGH signal of each user and kind; repeats within `late` are not sent again."""
+    """The first HIGH signal of each user and kind. On a stream `late` bounds the state: a repeat within it is not
+    sent again, one that comes later is; on a table, which has all rows at hand, none is."""
     high = signals.where("severity = 'HIGH'")
     if high.isStreaming:
         return high.withWatermark(at, late).dropDuplicatesWithinWatermark(["user_id", "kind"])
@@ -42,13 +47,17 @@ def new_signals(signals: DataFrame, late: str = "30 days", at: str = "ts") -> Da
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """A query that rewrites path with apply(all rows so far) after each micro-batch: for what needs the whole
-    history, like recurring detection. Batches are kept as Parquet under path/rows by number, so a repeat
-    of a batch replaces itself."""
+    """A query that renews path/result with apply(all rows so far) after each micro-batch: for what needs the
+    whole history of a user, like recurring detection. Rows and results are stored by a bucket of user_id;
+    only the buckets of a batch's users are read and replaced. A repeat of a batch replaces its own rows."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        every = batch.sparkSession.read.parquet(f"{path}/rows").drop("batch")
-        apply(every).write.mode("overwrite").parquet(f"{path}/result")
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        spark = batch.sparkSession
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # BUCKETS at most
+        if touched:
+            every = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(touched)).drop("batch", "bucket")
+            apply(every).withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/result")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -60,3 +60,30 @@ def test_rate_windows_on_a_table_and_stream_batches(spark, tmp_path):
     for _ in range(2):  # a restart adds nothing
         windows.each_batch(stream, lambda every: every.groupBy("user_id").count(), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out/result").first()["count"] == 8
+
+
+def test_a_date_range_reads_its_months_only(spark, tmp_path):
+    from datetime import date
+
+    from ledgerlake.operators import overview
+    from ledgerlake.sources import ledger
+
+    rows = [(k, 1, 10, date(2024, 1 + k % 6, 5), "d", "m", "OTHER", "DEBIT") for k in range(12)]
+    ledger.write_ledger(spark.createDataFrame(rows, "id long, user_id long, amount int, date date, description string, merchant string, category string, type string").withColumn("amount", F.col("amount").cast("decimal(19,4)")), str(tmp_path / "l"))
+    some = overview.between(ledger.read_ledger(spark, str(tmp_path / "l")), date(2024, 2, 1), date(2024, 3, 31))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan and some.count() == 4
+    assert len(some.inputFiles()) and overview.totals(some, None, None).first().entries == 4
+
+
+def test_each_batch_renews_the_users_of_a_batch(spark, tmp_path):
+    from ledgerlake.streaming.windows import each_batch
+
+    rows = spark.createDataFrame([(k % 5, k) for k in range(20)], "user_id long, amount long")
+    count = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"))
+    for part, where in enumerate(("amount < 10", "amount >= 10 AND user_id < 2")):
+        rows.where(where).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+        stream = spark.readStream.schema("user_id long, amount long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        each_batch(stream, count, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r.user_id: r.n for r in spark.read.parquet(str(tmp_path / "out" / "result")).collect()}
+    assert got == {0: 4, 1: 4, 2: 2, 3: 2, 4: 2}

@@ -45,7 +45,8 @@ def test_unknown_layout_and_mixed_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('date,description,amount\n2026-01-01,"x, y","1,50,000.50"\n')
     (tmp_path / "ignored.txt").write_text("date,description,amount\n2026-01-01,x,1\n")
     rows = parse(spark, tmp_path, "FooDate,BarDescription,BazNumber\n1,2,3\n4,5,6\n", "b.csv").orderBy("file").collect()
-    assert [(r.layout, r.amount) for r in rows] == [("EXPLICIT_AMOUNT", Decimal("150000.50")), ("UNKNOWN", None)]
+    assert [(r.layout, r.amount) for r in rows] == [("EXPLICIT_AMOUNT", Decimal("150000.50")), ("UNKNOWN", None), ("UNKNOWN", None)]
+    assert rows[2].file.endswith("ignored.txt") and "not a CSV file" in rows[2].error  # refused with a word, not in silence
     assert rows[0].description == "x, y"
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import drop, held, join_unique, materialize, releasing, sized, text_of
 from .components import components
 
-#: Members, and shingles, that one part of a neighbourhood, and one unit of work, is planned to hold.
-PART_ROWS, PART_SHINGLES = 256, 500_000
+#: Members that one part of a neighbourhood holds, that one unit of work is planned to, and shingles of either.
+PART_ROWS, UNIT_ROWS, PART_SHINGLES = 1024, 256, 500_000
 #: Points of an R-tree's leaf, and children of a node.
 FAN = 16
 #: One document in so many is asked for hot keys.
@@ -398,7 +398,7 @@ def _linked(with_body: Callable[[DataFrame, int], DataFrame], sizes: DataFrame,
     parts = F.greatest(F.ceil(F.col("k") / PART_ROWS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
     weight = materialize(weight.withColumn("parts", parts), "ngram-weights")
     total = weight.agg(F.sum("shingles"), F.count("*"), F.max("parts"), F.sum("parts")).first()
-    units = 1 + max((total[0] or 0) // PART_SHINGLES, rows // PART_ROWS)
+    units = 1 + max((total[0] or 0) // PART_SHINGLES, rows // UNIT_ROWS)
     known = join_unique(members, weight.select("cluster", "parts", "hub", "k"), "cluster", "k", rows, total[1])
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))

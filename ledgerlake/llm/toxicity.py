@@ -21,7 +21,7 @@ from xxhash import xxh3_64_intdigest as slot
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, held_out, releasing, text_of
+from .common import give_back, held, held_out, releasing, text_of
 
 #: Tokens of a row; longer texts take several rows, between which messages are carried, shorter ones are padded.
 LENGTH = 64
@@ -358,6 +358,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sa
             left -= n * kept[-1]
         pdf = pdf[kept]
         field = train(pdf.text.tolist(), (pdf.toxic.to_numpy() > 0).astype(np.int64))
+        del pdf, kept
+        give_back()
         return pd.DataFrame({"model": [pickle.dumps(field)]})
 
     got = sample.groupBy(F.col("toxic").isNull().alias("all")).applyInPandas(learn, "model binary").first()

@@ -396,16 +396,17 @@ def _linked(with_body: Callable[[DataFrame, int], DataFrame], sizes: DataFrame,
     rows = members.count()
     weight = members.select("cluster", "doc_id").join(sizes, "doc_id").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("doc_id").alias("hub"))
     parts = F.greatest(F.ceil(F.col("k") / PART_ROWS), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
-    weight = materialize(weight.withColumn("parts", parts), "ngram-weights")
+    weight = materialize(weight.withColumns({"parts": parts, "alone": F.col("k") > UNIT_ROWS}), "ngram-weights")
     total = weight.agg(F.sum("shingles"), F.count("*"), F.max("parts"), F.sum("parts")).first()
     units = 1 + max((total[0] or 0) // PART_SHINGLES, rows // UNIT_ROWS)
-    known = join_unique(members, weight.select("cluster", "parts", "hub", "k"), "cluster", "k", rows, total[1])
+    known = join_unique(members, weight.select("cluster", "parts", "hub", "alone", "k"), "cluster", "k", rows, total[1])
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     # the hub of a split cluster is in each of its parts
     part = F.explode(F.when((F.col("parts") > 1) & (F.col("doc_id") == F.col("hub")), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
-    unit = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "part")).alias("unit")
-    placed = known.select("cluster", "parts", "doc_id", "label", part.alias("part")).select(unit, "cluster", "part", "doc_id", "label")
+    # small clusters share a unit, a large one or a part has its own
+    unit = F.when((F.col("parts") == 1) & ~F.col("alone"), F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.xxhash64("cluster", "part")).alias("unit")
+    placed = known.select("cluster", "parts", "alone", "doc_id", "label", part.alias("part")).select(unit, "cluster", "part", "doc_id", "label")
     within = with_body(placed, rows + (total[3] or 0)).withColumns({"block": F.lit(0), "visits": F.lit(0)})
     links = materialize(_joined(within, exact, num, den), "ngram-links")
     if (total[2] or 1) == 1:

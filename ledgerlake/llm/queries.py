@@ -86,6 +86,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by replay of the merges, and the bytes that the ids stand for, as digests."""
+    from .merge_replay import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -103,6 +110,7 @@ QUERIES = {
         op8_quality_additive,
         op9_url_filter,
         op10_exact_top_k,
+        op12_merge_replay,
         pipeline,
     )
 }

@@ -86,6 +86,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers that share bytes, and how common their pairs are over all documents."""
+    from .alignment import link_statistics, pair_counts
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return link_statistics(docs, pair_counts(docs))
+
+
 def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by replay of the merges, and the bytes that the ids stand for, as digests."""
     from .merge_replay import round_trip
@@ -110,6 +118,7 @@ QUERIES = {
         op8_quality_additive,
         op9_url_filter,
         op10_exact_top_k,
+        op11_tokenizer_alignment,
         op12_merge_replay,
         pipeline,
     )

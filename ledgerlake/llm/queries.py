@@ -101,6 +101,13 @@ def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts with the far more frequent near word that each may be a variant of."""
+    from .spelling import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -120,6 +127,7 @@ QUERIES = {
         op10_exact_top_k,
         op11_tokenizer_alignment,
         op12_merge_replay,
+        op13_spelling_variants,
         pipeline,
     )
 }

@@ -31,7 +31,9 @@ from .merge_replay import blocks
 #: A key is the id of A above 20 bits for the id of B.
 B_BITS = 20
 #: Chunks that a worker keeps from block to block, keys that it gathers before they are reduced, counts of a shard.
-KEPT_CHUNKS, GATHERED, SHARD_ROWS = 200_000, 2_000_000, 4_000_000
+KEPT_CHUNKS, GATHERED, SHARD_ROWS = 150_000, 1_000_000, 4_000_000
+#: Bytes of texts whose chunks are learnt together.
+BLOCK_BYTES = 4 << 20
 #: A group of more links is taken by its distinct ids and their numbers.
 MANY_LINKS = 10_000
 #: Signs before which a run of letters may end a chunk, if no piece of B goes on over them.
@@ -287,7 +289,7 @@ def _partial(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
             return own, np.bincount(at, np.concatenate([known[1], n]), minlength=len(own)).astype(np.int64)
 
         for batch in releasing(batches):
-            for _, values in blocks(batch.column(0)):
+            for _, values in blocks(batch.column(0), BLOCK_BYTES):
                 lex = aligner(*paths)
                 for chunks in lex.numbered(values, None):
                     chunks = np.unique(chunks)
@@ -374,7 +376,7 @@ def _stats(df: DataFrame, text: str, paths: tuple[str, str], counts: Counts, mad
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in releasing(batches):
-            for at, values in blocks(batch.column(len(kept))):
+            for at, values in blocks(batch.column(len(kept)), BLOCK_BYTES):
                 lex = aligner(*paths)
                 columns = each(lex, lex.numbered(values, counts))
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(values)).columns[: len(kept)], *columns], names=out.names)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerlake.llm import alignment, merge_replay, queries
+from ledgerlake.llm import alignment, queries
 
 ALPHABET = [*"ab c'\n\t rslltd1é.,!\x85\x1c\x1e 　▁\r\0", "  ", "<|endoftext|>", "'re", "'ll", "日本", "aaaa", " \n", "२", "the", " tion", "ß", "Ω", "\U0001f600", "½", "<s>", "<0x41>", "; ", "word. Next", '(see) "x"', " 123"]
 
@@ -93,7 +93,6 @@ def test_whole_operator_by_blocks_and_shards(spark, libraries, monkeypatch):
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(25).collect()]
     for name, value in (("KEPT_CHUNKS", 50), ("GATHERED", 100), ("MANY_LINKS", 30)):
         monkeypatch.setattr(alignment, name, value)
-    monkeypatch.setattr(merge_replay, "BLOCK_BYTES", 2000)
     lex = alignment.Aligner(*alignment.default_paths())
     nothing = alignment._Uncounted([], np.zeros(1, np.int64))
     got = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import vocabulary as V
 from ..operators import balance, receipts
 from ..sources import statements
 from ..sources.ledger import test_ledger
-from ..streaming import windows
+from ..streaming import run, windows
 from .catalog import query
 
 #: Statement texts made of the customers, in words that both engines read alike.
@@ -247,26 +246,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 @query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS count, greatest(0, count(*) - 30) AS rejected FROM events GROUP BY 1, 2")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = drain(windows.rate_windows(events_stream(spark, sf_dir), "user_id", "upload"))
+    counted = run.drained(windows.rate_windows(events_stream(spark, sf_dir), "user_id", "upload"), "rate-windows", "complete")
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, ts::DATE AS day, event_type AS category, sum(value::DECIMAL(19,4))::DECIMAL(29,4) AS spend, count(*) AS entries FROM events GROUP BY 1, 2, 3")
 def daily_stream_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = events_stream(spark, sf_dir).select("user_id", "ts", F.col("event_type").alias("category"), F.col("value").cast("decimal(19,4)").alias("amount"))
-    return drain(windows.daily_spend(events))
+    return run.drained(windows.daily_spend(events), "daily-spend", "complete")
 
 
 @query("SELECT DISTINCT user_id, event_type AS kind FROM events WHERE value > 50")
 def new_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_stream(spark, sf_dir).select("user_id", "ts", F.col("event_type").alias("kind"), F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("severity"))
-    return drain(windows.new_signals(rows, late="60 days"), "append").select("user_id", "kind")
+    return run.drained(windows.new_signals(rows, late="60 days"), "new-signals").select("user_id", "kind")

@@ -40,7 +40,11 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """file, row_number, headers, cells of every record of the CSV files under path, one task for some files.
     Empty, larger than 5 MB and other than .csv files give one row without headers, which parse_statements
     turns into an error."""
-    found = spark.read.format("binaryFile").load(path)
+    return records_of(spark.read.format("binaryFile").load(path))
+
+
+def records_of(found: DataFrame) -> DataFrame:
+    """The same of files that are at hand (path, length, content)."""
     fits = (F.col("length") > 0) & (F.col("length") <= MOST_BYTES) & F.lower("path").endswith(".csv")
     files = found.where(fits)
     refused = found.where(~fits).select(F.col("path").alias("file"), F.lit(0).alias("row_number"), F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("map<string,string>").alias("cells"))

@@ -1,20 +1,19 @@
-"""Streams over ledger events: rate windows, daily spend, signals that are new. The same functions take tables."""
+"""Streams over ledger events: rate windows, daily spend, signals that are new. The first two give the same on tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .rescan import follow, state
 
 #: Fixed windows of a counter: seconds and how many are let through.
 LIMITS = {"auth": (60, 5), "upload": (3600, 30), "reset_request": (3600, 5), "reset_confirm": (3600, 10)}
 
 
-#: Buckets of users in what each_batch stores.
-BUCKETS = 256
-
-
 def rate_windows(events: DataFrame, key: str, kind: str, late: str = "1 day", at: str = "ts") -> DataFrame:
     """key, window_start, count, rejected: events by fixed window, and how many are over the limit.
 
@@ -46,18 +45,11 @@ def new_signals(signals: DataFrame, late: str = "30 days", at: str = "ts") -> Da
     return first
 
 
-def each_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """A query that renews path/result with apply(all rows so far) after each micro-batch: for what needs the
-    whole history of a user, like recurring detection. Rows and results are stored by a bucket of user_id;
-    only the buckets of a batch's users are read and replaced. A repeat of a batch replaces its own rows."""
+def each_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, schema: T.StructType) -> None:
+    """Renew what apply(all rows so far) gives for the users of each micro-batch, of `schema` and by user_id: for
+    what needs the whole history of a user. Stored as rescan.follow does; batch_result reads it."""
+    follow(stream, lambda _, rows: apply(rows), schema, path, checkpoint)
 
-    def run(batch: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int")
-        batch.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
-        spark = batch.sparkSession
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # BUCKETS at most
-        if touched:
-            every = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(touched)).drop("batch", "bucket")
-            apply(every).withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/result")
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def batch_result(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return state(spark, path, schema).read()

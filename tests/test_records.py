@@ -57,9 +57,10 @@ def test_rate_windows_on_a_table_and_stream_batches(spark, tmp_path):
     assert got == [(1, 0), (7, 2)]
     events.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    count = lambda every: every.groupBy("user_id").count()
     for _ in range(2):  # a restart adds nothing
-        windows.each_batch(stream, lambda every: every.groupBy("user_id").count(), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-        assert spark.read.parquet(f"{tmp_path}/out/result").first()["count"] == 8
+        windows.each_batch(stream, count, f"{tmp_path}/out", f"{tmp_path}/check", count(events).schema)
+        assert windows.batch_result(spark, f"{tmp_path}/out", count(events).schema).first()["count"] == 8
 
 
 def test_a_date_range_reads_its_months_only(spark, tmp_path):
@@ -77,13 +78,13 @@ def test_a_date_range_reads_its_months_only(spark, tmp_path):
 
 
 def test_each_batch_renews_the_users_of_a_batch(spark, tmp_path):
-    from ledgerlake.streaming.windows import each_batch
+    from ledgerlake.streaming.windows import batch_result, each_batch
 
     rows = spark.createDataFrame([(k % 5, k) for k in range(20)], "user_id long, amount long")
     count = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n"))
     for part, where in enumerate(("amount < 10", "amount >= 10 AND user_id < 2")):
         rows.where(where).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
         stream = spark.readStream.schema("user_id long, amount long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        each_batch(stream, count, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r.user_id: r.n for r in spark.read.parquet(str(tmp_path / "out" / "result")).collect()}
+        each_batch(stream, count, str(tmp_path / "out"), str(tmp_path / "check"), count(rows).schema)
+    got = {r.user_id: r.n for r in batch_result(spark, str(tmp_path / "out"), count(rows).schema).collect()}
     assert got == {0: 4, 1: 4, 2: 2, 3: 2, 4: 2}

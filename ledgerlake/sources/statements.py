@@ -20,13 +20,17 @@ MOST_BYTES = 5 << 20
 RAW = "file string, row_number int, headers array<string>, cells map<string,string>"
 
 
+def blank(record: list[str]) -> bool:
+    return not record or (len(record) == 1 and not record[0].strip())
+
+
 def split_records(name: str, content: bytes) -> Iterator[tuple[str, int, list[str], dict[str, str | None]]]:
     """Records of one file; the first is the header. Numbers start at 2 and count records, not lines; blank
     lines are skipped, short records lack cells, extra cells are left out."""
     header: list[str] | None = None
     number = 1
     for record in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))):
-        if not record or (len(record) == 1 and not record[0].strip()):
+        if blank(record):
             continue
         if header is None:
             header = [h.strip() for h in record]

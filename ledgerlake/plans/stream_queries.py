@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import recurring
+from ..sources import export, large_csv, statements
 from ..sources.ledger import test_ledger
 from ..streaming import ingest, rescan, run, state
 from .catalog import AS_OF, PATTERNS, query
@@ -160,3 +161,31 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = ingest.sums(spark, path).groupBy("user_id", "day")
     money = [F.when(F.sum(c) != 0, F.sum(c)).cast("decimal(29,4)").alias(c) for c in ("spend", "income")]
     return days.agg(*money, F.sum("entries").alias("entries"))
+
+
+@query("""
+SELECT user_id, count(*) AS records, count(*) AS imported, min(date) AS first, max(date) AS last, sum(amount)::DECIMAL(29,4) AS total,
+       sum(amount) FILTER (type = 'DEBIT')::DECIMAL(29,4) AS debits FROM ledger GROUP BY user_id""")
+def statement_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an import of statement files in byte ranges finds: records, sums and dates of each user."""
+    path = run.place(spark, "import-files")
+    statement_files(test_ledger(spark, sf_dir), path)
+    raw = large_csv.read_large_statements(spark, path, range_bytes=1 << 20)
+    parsed = statements.parse_statements(raw).withColumn("user_id", F.regexp_extract("file", r"user=(\d+)", 1).try_cast("long"))
+    good = F.col("error").isNull()
+    money = lambda c: F.sum(F.when(c, F.col("amount"))).cast("decimal(29,4)")
+    return parsed.groupBy("user_id").agg(
+        F.count("*").alias("records"), F.count(F.when(good, 1)).alias("imported"), F.min("date").alias("first"), F.max("date").alias("last"),
+        money(good).alias("total"), money(good & F.col("is_debit")).alias("debits"),
+    )
+
+
+@query(f"""
+SELECT user_id, strftime(date, '%Y-%m-%d') AS date, description, merchant, category, type, amount::VARCHAR AS amount, 'INR' AS currency, 'CSV' AS source, 'false' AS reviewed
+FROM ledger WHERE date >= DATE '{BATCH_ENDS[1]}'""")
+def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of an export, read back."""
+    path = run.place(spark, "export")
+    export.write_export(test_ledger(spark, sf_dir).where(F.col("date") >= F.lit(BATCH_ENDS[1]).cast("date")), path)
+    user = F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id")
+    return export.read_export(spark, path).select(user, "date", "description", "merchant", "category", "type", "amount", "currency", "source", "reviewed")

@@ -143,10 +143,3 @@ def export_lines(ledger: DataFrame) -> DataFrame:
 
 
 HEADER = "date,description,merchant,category,type,amount,currency,source,reviewed,notes"
-
-
-def write_export(ledger: DataFrame, path: str) -> None:
-    """One folder of CRLF text files for each user, each file with the header line."""
-    lines = export_lines(ledger)
-    per_user = lines.repartition("user_id").sortWithinPartitions("user_id", F.desc("date"), "id")
-    per_user.select("user_id", F.col("line").alias(HEADER)).write.partitionBy("user_id").mode("overwrite").option("header", True).option("lineSep", "\r\n").option("quote", "\u0000").option("emptyValue", "").csv(path)

@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _L, _ODD, _SPLIT, Pieces, fast_encoder
-from .common import LONG, STRING, drop, held, materialize, releasing, schema, shared_dir, text_of
-from .merge_replay import blocks
+from .common import LONG, STRING, blocks, drop, held, materialize, releasing, schema, shared_dir, text_of
 
 #: A key is the id of A above 20 bits for the id of B.
 B_BITS = 20

@@ -18,6 +18,9 @@ _SPACES = re.compile(f"[{_S}][{_S}]")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Entries of a worker's caches; the first seen stay, as frequent pieces come early.
 CACHE = 100_000
+#: Pieces of at most so many bytes are counted many at once, and so many are kept from block to block.
+SHORT, KEPT_PIECES = 48, 200_000
+_BASE = 0x9E3779B97F4A7C15
 
 
 def byte_chars() -> dict[str, int]:
@@ -32,7 +35,7 @@ def fast_encoder(vocab: dict[bytes, int]):
     """BPE of one pre-token. The merges of the vocabulary rank as the ids of their results do."""
     import tiktoken
 
-    return tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=vocab, special_tokens={})._encode_single_piece
+    return tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=vocab, special_tokens={})._core_bpe.encode_single_piece
 
 
 class Pieces:
@@ -89,6 +92,80 @@ class PrefixCounts(Pieces, dict):
         self._known: dict[bytes, int] = {}  # the last tokens of prefixes that many pieces share
         self._encode = fast_encoder(self.vocab)
         self._bytes = {i: b for b, i in self.vocab.items()}
+        self._pair_keys, self._pair_fits = np.full(1, 1 << 62), np.zeros(1, bool)
+        power, inverse = [1], [1]
+        for _ in range(SHORT):
+            power.append(power[-1] * _BASE % (1 << 64))
+            inverse.append(inverse[-1] * pow(_BASE, -1, 1 << 64) % (1 << 64))
+        self._power, self._inverse = np.array(power, np.uint64), np.array(inverse, np.uint64)
+        short = [(sum((c + 1) * x for c, x in zip(b, power, strict=False)) % (1 << 64), i) for b, i in self.vocab.items() if len(b) <= SHORT]
+        self._hashes, self._ids = (np.array(x, t) for x, t in zip(zip(*sorted(short), strict=True), (np.uint64, np.int64), strict=True))
+        self._seen = np.zeros(1 << 20, bool)  # upper bits of hashes that entries have
+        self._seen[self._hashes >> np.uint64(44)] = True
+
+    def learn(self, pieces: set[str]) -> None:
+        """Store what is missing of the pieces, the short ones together: the last token and the count of all
+        their prefixes of one length follow from those of the shorter ones."""
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        fresh = [p for p in pieces if p not in self and p[0] != "'"]
+        data = [p.encode() for p in fresh]
+        keep = [i for i, d in enumerate(data) if len(d) <= SHORT]
+        keep.sort(key=lambda i: -len(data[i]))  # those that a prefix length concerns stand in front
+        fresh, data = [fresh[i] for i in keep], [data[i] for i in keep]
+        if not fresh:
+            return
+        size = np.array([len(d) for d in data])
+        longest = int(size[0])
+        points = np.zeros((longest, len(data)), np.uint64)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        row = np.repeat(np.arange(len(data)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        points[place, row] = (flat.astype(np.uint64) + np.uint64(1)) * self._power[place]
+        sums = np.concatenate([np.zeros((1, len(data)), np.uint64), np.cumsum(points, axis=0, dtype=np.uint64)])
+        last, count = np.full((longest + 1, len(data)), -1, np.int64), np.zeros((longest + 1, len(data)), np.int16)
+        for k in range(1, longest + 1):
+            rest = np.arange(np.searchsorted(-size, -k, "right"))
+            for at in range(max(0, k - self.longest), k):
+                key = (sums[k, rest] - sums[at, rest]) * self._inverse[at]
+                good = np.flatnonzero(self._seen[key >> np.uint64(44)])
+                found = np.minimum(np.searchsorted(self._hashes, key[good]), len(self._hashes) - 1)
+                same = self._hashes[found] == key[good]
+                good = good[same]
+                token, before = self._ids[found[same]], last[at, rest[good]]
+                fits = self._all_fit((before + 1) << 20 | token)
+                hit = rest[good[fits]]
+                last[k, hit], count[k, hit] = token[fits], count[at, hit] + 1
+                rest = np.delete(rest, good[fits])
+                if not len(rest):
+                    break
+        # a prefix counts at the end of each of its characters
+        ends = np.append((flat[1:] & 0xC0) != 0x80, True)
+        ends[np.cumsum(size) - 1] = True
+        row, place = row[ends], place[ends] + 1
+        counts = count[place, row]
+        table = np.diff(counts, prepend=np.int16(0))
+        first = np.append(True, row[1:] != row[:-1])
+        table[first] = counts[first]
+        stored = table.astype(np.int8).tobytes()
+        cuts = np.append(np.flatnonzero(first), len(row)).tolist()
+        encode = self._encode
+        for i, d in enumerate(data):
+            if len(encode(d)) == count[size[i], i]:  # else (equal hashes of other strings) the piece is counted by itself
+                self[fresh[i]] = stored[cuts[i] : cuts[i + 1]]
+
+    def _all_fit(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the two tokens of each pair (before + 1 above 20 bits for the token) encode to themselves."""
+        if len(self._pair_keys) > 4 * CACHE:
+            self._pair_keys, self._pair_fits = np.full(1, 1 << 62), np.zeros(1, bool)
+        at = np.searchsorted(self._pair_keys, pairs)
+        new = np.unique(pairs[self._pair_keys[at] != pairs])
+        if len(new):
+            fits = [self._encode((self._bytes[(x >> 20) - 1] if x >> 20 else b"") + self._bytes[x & 0xFFFFF]) == ([(x >> 20) - 1, x & 0xFFFFF] if x >> 20 else [x]) for x in new.tolist()]
+            place = np.searchsorted(self._pair_keys, new)
+            self._pair_keys, self._pair_fits = np.insert(self._pair_keys, place, new), np.insert(self._pair_fits, place, fits)
+            at = np.searchsorted(self._pair_keys, pairs)
+        return self._pair_fits[at]
 
     def _fits(self, before: int, token: int) -> bool:
         """Whether the two tokens (or the token alone, before < 0) encode to themselves."""
@@ -147,9 +224,9 @@ class PrefixCounts(Pieces, dict):
             self[piece] = out
         return out
 
-    def _ordinary(self, text: str) -> np.ndarray | bytes:
-        simple = self.simple(text)
-        pieces = _SPLIT.findall(text) if simple else self.split(text)
+    def _ordinary(self, text: str, pieces: list[str] | None = None) -> np.ndarray | bytes:
+        simple = pieces is not None or self.simple(text)
+        pieces = pieces or (_SPLIT.findall(text) if simple else self.split(text))
         try:
             stored = b"".join([self[p] for p in pieces])
         except OverflowError:  # a change beyond a byte
@@ -175,11 +252,17 @@ class PrefixCounts(Pieces, dict):
             at, before = at + len(p), p
         return table
 
-    def table(self, text: str) -> np.ndarray:
+    def tables(self, texts: list[str]) -> list[np.ndarray]:
+        """The table of each text; pieces that are new in them are counted together."""
+        pieces = [_SPLIT.findall(t) if self.simple(t) and not self._special.search(t) else None for t in texts]
+        self.learn({p for own in pieces if own for p in own})
+        return [self.table(t, own) for t, own in zip(texts, pieces, strict=True)]
+
+    def table(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Differences of the token counts of text[:0], text[:1], ... as the library encodes each prefix."""
-        runs = self.segments(text)
+        runs = [(text, None)] if pieces else self.segments(text)
         if len(runs) == 1:
-            got = self._ordinary(text)
+            got = self._ordinary(text, pieces)
             return np.frombuffer(got, np.int8) if isinstance(got, bytes) else got
         out: list[np.ndarray] = []
         total = 0

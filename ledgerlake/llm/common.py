@@ -84,6 +84,20 @@ def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list]]:
+    """The values of a column in runs of at most `most` bytes (or of one value), with each run's first row."""
+    at, run, total = 0, [], 0
+    for i, value in enumerate(column):
+        x = value.as_py()
+        if run and total + len(x) > most:
+            yield at, run
+            at, run, total = i, [], 0
+        run.append(x)
+        total += len(x)
+    if run:
+        yield at, run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The columns of a table; one in fewer partitions than there are cores is dealt out over them."""
     read = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns or "*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _ODD, _SPLIT
-from .common import held, releasing, text_of
+from .common import blocks, held, releasing, text_of
 
 #: Bytes of texts in a block, of words in one replay, and words that a worker keeps from block to block.
 BLOCK_BYTES, REPLAY_BYTES, KEPT_WORDS = 16 << 20, 3 << 20, 250_000
@@ -251,21 +251,6 @@ def lexicon(path: str) -> Lexicon:
     return held(("replay", path), lambda: Lexicon(path))
 
 
-def blocks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, list]]:
-    """The values of a column in runs of at most `most` bytes (or one value), with each run's first row."""
-    most = most or BLOCK_BYTES
-    at, run, total = 0, [], 0
-    for i, value in enumerate(column):
-        x = value.as_py()
-        if run and total + len(x) > most:
-            yield at, run
-            at, run, total = i, [], 0
-        run.append(x)
-        total += len(x)
-    if run:
-        yield at, run
-
-
 def _mapped(df: DataFrame, source: str, made: dict[str, T.DataType], path: str, each: Callable[[Lexicon, list], list[list]]) -> DataFrame:
     """df without the columns `source` and made's; each: the values of the made columns for a run of source's."""
     kept = [c for c in df.columns if c.lower() not in {x.lower() for x in (source, *made)}]
@@ -277,7 +262,7 @@ def _mapped(df: DataFrame, source: str, made: dict[str, T.DataType], path: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in releasing(batches):
-            for at, values in blocks(batch.column(len(kept))):
+            for at, values in blocks(batch.column(len(kept)), BLOCK_BYTES):
                 columns = [pa.array(x, types[t.typeName()]) for x, t in zip(each(lexicon(path), values), made.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(values)).columns[: len(kept)], *columns], names=[*kept, *made])
 

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import releasing, text_of
+from .common import blocks, releasing, text_of
+
+#: Bytes of texts that are counted together.
+BLOCK_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:
@@ -42,12 +45,10 @@ def prefix_token_counts(df: DataFrame, text: str = "text", path: str | None = No
 
         counter = prefix_counts(path)
         for whole in releasing(batches):
-            for at in range(0, whole.num_rows, 500):  # the tables of a few texts at a time
-                batch = whole.slice(at, 500)
+            for at, texts in blocks(whole.column(len(kept)), BLOCK_BYTES):
+                batch = whole.slice(at, len(texts))
                 sizes, tokens, widths, tables = [], [], [], []
-                for value in batch.column(len(kept)):
-                    x = value.as_py()
-                    d = counter.table(x)
+                for x, d in zip(texts, counter.tables(texts), strict=True):
                     if d.dtype != np.int8:
                         d = d.astype(np.int8 if np.abs(d).max(initial=0) < 128 else np.int32)
                     sizes.append(len(x) if x.isascii() else len(x.encode()))

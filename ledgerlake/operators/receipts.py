@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,7 +64,12 @@ DATES = (
 )
 DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy")
 
+# Dates of a recogniser's reply, in the order of trial.
+REPLY_DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "d/M/yyyy", "d MMM yyyy", "d MMMM yyyy")
+
 LINE_HEIGHT, PLAIN_CONFIDENCE = 25, 0.80
+#: A best merchant under the first score, or with the second best nearer than the other, is unsure.
+LEAST_SCORE, NEAR = 0.40, 0.08
 
 
 def text_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -110,7 +120,7 @@ def merchant_name(c: Column) -> Column:
     return F.regexp_replace(trimmed(F.regexp_replace(c, r"^[^\w]+|[^\w)]+$", "")), r"\s{2,}", " ")
 
 
-def best_merchant(scored: DataFrame, key: str, least: float = 0.40, near: float = 0.08) -> DataFrame:
+def best_merchant(scored: DataFrame, key: str, least: float = LEAST_SCORE, near: float = NEAR) -> DataFrame:
     """key, merchant, score, ambiguous (the second is near), escalate (too low or ambiguous)."""
     order = W.partitionBy(key).orderBy(F.desc("score"), "top", "line")
     rows = scored.where("score > 0").withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("r = 1")
@@ -179,6 +189,96 @@ def validate_total(receipts: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", tier(F.round("score", 9), (0.65, "HIGH"), (0.40, "MEDIUM"), other="LOW")).drop("_v", "_goods", "_sums", "_goods_sum", "_best")
 
 
+#: Lines of a receipt that an interpreter gets, and names that are proposed to it.
+MOST_LINES, HINTS = 25, 3
+INTERPRETED = "merchant string, category string, confidence double"
+
+
+def parse(docs: DataFrame, key: str, as_of: date, text: str = "text", interpret: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """key, amount, date, merchant, score, ambiguous, corrupted, escalated, category, currency, successful of plain
+    receipts, by rules; key is one row's.
+
+    A receipt is escalated if its text is corrupted, or its best merchant has a low score or a near rival.
+    interpret: takes frames (text, hints) of escalated receipts only and gives frames (merchant, category,
+    confidence) of the same length; a merchant that it tells replaces the rules' one, null keeps it. Texts that
+    are blank or null have nothing, and no amount makes a receipt unsuccessful; without a date it is as_of's.
+    """
+    scored = merchant_score(text_lines(docs, key, text))
+    order = W.partitionBy(key).orderBy(F.desc("score"), "top", "line")
+    first = scored.where("score > 0").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HINTS).groupBy(key)
+    ranked = F.sort_array(F.collect_list(F.struct("r", "score", merchant_name(F.col("line")).alias("name"))))
+    best = first.agg(ranked.alias("_n")).select(F.col(key).alias("_k"), "_n")
+    content = F.coalesce(F.col(text), F.lit(""))
+    filled = trimmed(content) != ""
+    rows = docs.select(key, F.when(filled, content).alias("_text")).join(best, F.col(key) == F.col("_k"), "left")
+    score, rival = F.get("_n", 0)["score"], F.get("_n", 1)["score"]
+    rows = rows.select(
+        key, "_text", receipt_total(F.col("_text")).alias("amount"), F.when(F.col("_text").isNotNull(), F.coalesce(receipt_date(F.col("_text"), as_of), F.lit(as_of))).alias("date"),
+        F.get("_n", 0)["name"].alias("merchant"), score.alias("score"), F.coalesce(score - rival < NEAR, F.lit(False)).alias("ambiguous"), corrupted(F.col("_text")).alias("corrupted"),
+        F.array_distinct(F.filter(F.transform("_n", lambda n: n["name"]), lambda n: n != "")).alias("_hints"),
+    )
+    low = F.coalesce((F.col("score") < LEAST_SCORE) | F.col("ambiguous"), F.lit(False))
+    rows = rows.withColumn("escalated", F.col("_text").isNotNull() & (F.col("corrupted") | low)).withColumn("category", F.lit(None).cast("string"))
+    if interpret is not None:
+        rows = _interpreted(rows, interpret)
+    done = [F.when(F.col("_text").isNotNull(), F.lit("INR")).alias("currency"), F.col("amount").isNotNull().alias("successful")]
+    return rows.select(key, "amount", "date", "merchant", "score", "ambiguous", "corrupted", "escalated", "category", *done)
+
+
+def _interpreted(rows: DataFrame, interpret: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """rows with the interpreter's merchant and category for escalated ones, in one pass over batches; it is
+    started once for each partition, with an iterator, so it can hold what is dear to set up."""
+    lines = F.filter(F.split("_text", r"\r?\n"), lambda x: trimmed(x) != "")
+    rows = rows.withColumn("_asked", F.when(F.col("escalated"), F.array_join(F.slice(lines, 1, MOST_LINES), "\n")))
+    names = rows.columns
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def questions() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                waiting.append(batch)
+                asked = batch.filter(pa.compute.is_valid(batch.column("_asked")))
+                if asked.num_rows:
+                    yield pd.DataFrame({"text": asked.column("_asked").to_pylist(), "hints": [h or [] for h in asked.column("_hints").to_pylist()]})
+
+        answers = interpret(questions())
+        while True:
+            answer = next(answers, None)  # pulls batches until there is a question
+            for batch in waiting:
+                at = np.flatnonzero(pa.compute.is_valid(batch.column("_asked")).to_numpy(zero_copy_only=False))
+                columns = {n: batch.column(n).to_pylist() if n in ("merchant", "category") else batch.column(n) for n in names}
+                if len(at):
+                    if answer is None or len(answer) != len(at):
+                        raise ValueError("an interpreter answers each frame of questions with a frame of the same length")
+                    for i, merchant, category in zip(at.tolist(), answer["merchant"], answer["category"], strict=True):
+                        if isinstance(merchant, str) and merchant.strip():
+                            columns["merchant"][i] = merchant.strip()
+                            columns["category"][i] = category if isinstance(category, str) else None
+                yield pa.RecordBatch.from_arrays([pa.array(columns[n], batch.schema.field(n).type) if isinstance(columns[n], list) else columns[n] for n in names], names=names)
+            waiting.clear()
+            if answer is None:
+                return
+
+    return rows.mapInArrow(ask, rows.schema)
+
+
+def from_reply(rows: DataFrame, as_of: date, column: str = "json") -> DataFrame:
+    """rows with amount, date, merchant, address, confidence, confirm, successful of a recogniser's reply in JSON:
+    the total checked against the items (see validate_total), a future or unreadable date null, texts cleaned
+    and cut to 200 and 500 characters. Broken JSON gives nulls, unsuccessful."""
+    kind = "merchant_name string, merchant_address string, transaction_date string, total_amount decimal(19,4), line_items array<struct<item_name:string,item_price:decimal(19,4)>>"
+    clean = lambda c, most: F.nullif(F.substring(trimmed(F.regexp_replace(trimmed(c), r"[\p{Cntrl}&&[^\n\t\r]]", "")), 1, most), F.lit(""))
+    made = rows.withColumn("_j", F.from_json(column, kind))
+    made = made.withColumn("total", F.when(F.col("_j.total_amount") > 0, F.col("_j.total_amount").cast("decimal(19,2)")))
+    made = made.withColumn("items", F.transform("_j.line_items", lambda i: F.struct(i["item_name"].alias("name"), i["item_price"].cast("decimal(19,2)").alias("price"))))
+    day = F.coalesce(*[F.try_to_timestamp(trimmed(F.col("_j.transaction_date")), F.lit(f)) for f in REPLY_DATES]).cast("date")
+    out = validate_total(made).withColumn("date", F.when(day <= F.lit(as_of), day))
+    out = out.withColumn("merchant", clean(F.col("_j.merchant_name"), 200)).withColumn("address", clean(F.col("_j.merchant_address"), 500))
+    low = F.col("confidence") == "LOW"
+    return out.withColumn("confirm", low).withColumn("successful", F.coalesce(F.col("amount") > 0, F.lit(False))).select(*rows.columns, "amount", "date", "merchant", "address", "confidence", "confirm", "successful")
+
+
 def parse_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """rows with merchant, total and items of a recognised receipt in JSON; those with neither a merchant nor
     a positive total go. Unknown fields and broken text are left out."""

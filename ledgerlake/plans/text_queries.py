@@ -175,13 +175,16 @@ NOISE = " OR ".join("contains(lower(line), '%s')" % w for w in receipts.NOT_MERC
 CASED = r"regexp_replace(line, '[^\p{L}]', '', 'g')"
 
 
+SCORE = rf"""CASE WHEN n < 4 OR {NOISE} OR regexp_matches(line, '{receipts.ADDRESS}') OR regexp_matches(line, '{receipts.CONTACT}') OR regexp_matches(line, '^[0-9]') OR digits > n * 0.5 THEN 0
+  ELSE CASE WHEN pos <= 0.25 THEN (1 - pos / 0.25::DOUBLE) * 0.35::DOUBLE ELSE 0 END + 0.8::DOUBLE * 0.3::DOUBLE
+     + CASE WHEN letters >= 2 AND capitals / letters >= 0.85 THEN 0.2::DOUBLE WHEN len(list_filter(w, lambda z: regexp_matches(z, '^\p{{Lu}}'))) / len(w) >= 0.6 THEN 0.1::DOUBLE ELSE 0 END
+     + CASE WHEN n <= 30 THEN 0.1::DOUBLE WHEN n <= 60 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN letters / n >= 0.75 THEN 0.05::DOUBLE ELSE 0 END END"""
+
+
 @query(rf"""{LINES.replace("coalesce(text, '')", "regexp_replace(coalesce(text, ''), '[^{0}]', 'x', 'g')".format(r"{0}x00-{0}x7F".format(chr(92))))},
 y AS (SELECT doc_id, top, line, length(line) AS n, length({CASED}) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS capitals, top::DOUBLE / height AS pos, regexp_split_to_array(line, '\s+') AS w,
              length(regexp_replace(line, '[^0-9]', '', 'g')) AS digits FROM x WHERE line <> '')
-SELECT doc_id, top, CASE WHEN n < 4 OR {NOISE} OR regexp_matches(line, '{receipts.ADDRESS}') OR regexp_matches(line, '{receipts.CONTACT}') OR regexp_matches(line, '^[0-9]') OR digits > n * 0.5 THEN 0
-  ELSE CASE WHEN pos <= 0.25 THEN (1 - pos / 0.25::DOUBLE) * 0.35::DOUBLE ELSE 0 END + 0.8::DOUBLE * 0.3::DOUBLE
-     + CASE WHEN letters >= 2 AND capitals / letters >= 0.85 THEN 0.2::DOUBLE WHEN len(list_filter(w, lambda z: regexp_matches(z, '^\p{{Lu}}'))) / len(w) >= 0.6 THEN 0.1::DOUBLE ELSE 0 END
-     + CASE WHEN n <= 30 THEN 0.1::DOUBLE WHEN n <= 60 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN letters / n >= 0.75 THEN 0.05::DOUBLE ELSE 0 END END AS score FROM y""")
+SELECT doc_id, top, {SCORE} AS score FROM y""")
 def merchant_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     # letters beyond ASCII become x: the engines differ in where a word with them ends
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
@@ -202,6 +205,44 @@ def receipt_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", receipts.receipt_total(F.col("text")).alias("total"), receipts.receipt_date(F.col("text"), date(2025, 1, 1)).alias("day"))
 
 
+#: Receipts of all kinds, made of the orders: sure, ambiguous, corrupted and low merchants, blank and missing texts.
+SLIP = f"""CASE o_orderkey % 8 WHEN 0 THEN 'STARBUCKS COFFEE' || chr(10) || '12 Main St' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || {RECEIPT}
+  WHEN 1 THEN 'Corner Bakery' || chr(10) || 'Little Stall' || repeat(chr(10) || 'x', 20) || chr(10) || {RECEIPT} WHEN 2 THEN 'zzzzzzz market' || chr(10) || {RECEIPT} WHEN 3 THEN chr(10) || chr(10) || chr(10) || 'some old small place where nobody ever goes at night or by day, really' || chr(10) || {RECEIPT}
+  WHEN 4 THEN 'FRESH MART ' || o_orderpriority || chr(10) || 'q' || chr(10) || 'r' || chr(10) || 's' || chr(10) || {RECEIPT} WHEN 5 THEN '   ' WHEN 6 THEN 'a b c d e f g h' ELSE {RECEIPT} END"""
+
+
+def named_sql(c: str) -> str:
+    """receipts.merchant_name in SQL."""
+    trim = lambda x: rf"regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+    for pattern, name in receipts.SPELLINGS:
+        c = trim("regexp_replace({}, '(?i){}', '{}', 'g')".format(c, pattern.replace("'", "''"), name))
+    return rf"regexp_replace({trim(f"regexp_replace({c}, '^[^\w]+|[^\w)]+$', '', 'g')")}, '\s{{2,}}', ' ', 'g')"
+
+
+@query(rf"""
+WITH d AS (SELECT o_orderkey AS doc_id, {SLIP} AS text FROM orders),
+t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\r?\n)+$', ''), chr(10)) AS l FROM d),
+x AS (SELECT doc_id, (len(l) * 25)::INT AS height, ((generate_subscripts(l, 1) - 1) * 25)::INT AS top, regexp_replace(unnest(l), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS line FROM t),
+y AS (SELECT doc_id, top, line, length(line) AS n, length({CASED}) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) AS capitals, top::DOUBLE / height AS pos, regexp_split_to_array(line, '\s+') AS w,
+             length(regexp_replace(line, '[^0-9]', '', 'g')) AS digits FROM x WHERE line <> ''),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, top, line) AS r, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, top, line) AS rival FROM (SELECT doc_id, top, line, {SCORE} AS score FROM y) WHERE score > 0),
+f AS (SELECT doc_id, CASE WHEN trim(text) <> '' THEN text END AS text FROM d),
+g AS (SELECT f.doc_id, text, {named_sql("line")} AS merchant, score, coalesce(score - rival < 0.08::DOUBLE, false) AS ambiguous,
+      coalesce(regexp_matches(text, '{"|".join(f"{ch}{{5}}" for ch in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")}')
+        OR list_sum(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda v: length(v)))::DOUBLE / len(regexp_split_to_array(trim(text), '\s+')) < 2, false) AS corrupted
+      FROM f LEFT JOIN z ON f.doc_id = z.doc_id AND r = 1)
+SELECT doc_id AS o_orderkey, coalesce(TRY_CAST(replace(regexp_extract_all(text, '{receipts.TOTALS[0]}', 1)[-1], ',', '') AS DECIMAL(19,2)), TRY_CAST(replace(regexp_extract_all(text, '{receipts.TOTALS[1]}', 1)[-1], ',', '') AS DECIMAL(19,2)),
+       list_max(list_transform(regexp_extract_all(text, '{receipts.ANY_AMOUNT}', 1), lambda v: TRY_CAST(replace(v, ',', '') AS DECIMAL(19,2))))) AS amount,
+       CASE WHEN text IS NULL THEN NULL WHEN text LIKE '%25/12/2024%' THEN DATE '2024-12-25' WHEN text LIKE '%2024-03-15%' THEN DATE '2024-03-15' WHEN text LIKE '%5 Jan 2024%' THEN DATE '2024-01-05' ELSE DATE '2025-01-01' END AS date,
+       merchant, round(score, 6) AS score, ambiguous, corrupted, text IS NOT NULL AND (corrupted OR coalesce(score < 0.4::DOUBLE OR ambiguous, false)) AS escalated
+FROM g""")
+def receipt_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts from text to amount, date and merchant, and which ones an interpreter would be asked about."""
+    docs = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.expr(SLIP).alias("text"))
+    rows = receipts.parse(docs, "o_orderkey", date(2025, 1, 1))
+    return rows.select("o_orderkey", "amount", "date", "merchant", F.round("score", 6).alias("score"), "ambiguous", "corrupted", "escalated")
+
+
 def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     name = F.when(F.col("l_linenumber") == 1, "Grand Total").when(F.col("l_linenumber") == 2, "VAT").otherwise("thing")

@@ -82,3 +82,34 @@ def test_receipt_merchant(spark):
 def test_receipt_json(spark):
     rows = spark.createDataFrame([('{"merchant_name": "A", "total_amount": 12.5, "more": 1}',), ('{"total_amount": -1}',), ("broken",), (None,)], "json string")
     assert [(r.merchant, r.total) for r in receipts.parse_json(rows).collect()] == [("A", Decimal("12.50"))]
+
+
+def test_interpreter_is_asked_about_escalated_receipts_only(spark):
+    import pandas as pd
+
+    def interpret(frames):
+        for frame in frames:
+            assert len(frame) and all("sure" not in t.lower() for t in frame["text"])
+            yield pd.DataFrame({"merchant": [f"asked:{h[0]}" if h else None for h in frame["hints"]], "category": ["DINING"] * len(frame), "confidence": [0.9] * len(frame)})
+
+    docs = [(k, "SURE SHOP\nx\ny\nz\nTotal 5.00") if k % 3 == 0 else (k, "Corner Bakery\nLittle Stall\n" + "x\n" * 20 + "Total: 7.50") if k % 3 == 1 else (k, "zzzzzz q w\nTotal 2.00") for k in range(300)] + [(900, None), (901, " "), (902, "12 12\nTotal 3")]
+    rows = receipts.parse(spark.createDataFrame(docs, "id long, text string").repartition(3), "id", AS_OF, interpret=interpret)
+    got = {r.id: (r.merchant, r.category, r.escalated, r.successful) for r in rows.collect()}
+    assert got[0] == ("SURE SHOP", None, False, True) and got[1] == ("asked:Corner Bakery", "DINING", True, True) and got[900] == got[901] == (None, None, False, False)
+    assert all(v == got[k % 3] for k, v in got.items() if k < 300) and got[902][0] is None and got[902][2] is False
+    plain = {r.id: r.merchant for r in receipts.parse(spark.createDataFrame(docs, "id long, text string"), "id", AS_OF).collect()}
+    assert plain[1] == "Corner Bakery" and set(plain) == set(got)
+    broken = receipts.parse(spark.createDataFrame(docs, "id long, text string"), "id", AS_OF, interpret=lambda frames: (f.iloc[:0] for f in frames))
+    with pytest.raises(Exception, match="same length"):
+        broken.collect()
+
+
+def test_reply_of_a_recogniser(spark):
+    from datetime import date
+
+    rows = [
+        ('{"merchant_name": " A\\u0007 Shop ", "merchant_address": "1 St", "transaction_date": "12/31/2000", "total_amount": 18, "line_items": [{"item_name": "a", "item_price": 85}, {"item_name": "b", "item_price": 45}, {"item_name": "Grand Total", "item_price": 118}]}',),
+        ('{"merchant_name": "  ", "transaction_date": "2999-01-01", "total_amount": -1}',), ("broken",), (None,),
+    ]
+    got = receipts.from_reply(spark.createDataFrame(rows, "json string"), AS_OF).collect()
+    assert [(r.merchant, r.address, r.date, r.amount, r.confirm, r.successful) for r in got] == [("A Shop", "1 St", date(2000, 12, 31), Decimal(118), False, True), *[(None, None, None, None, True, False)] * 3]

@@ -54,7 +54,7 @@ def monthly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPORT = f"""{LEAKS},
-r1 AS (SELECT user_id, coalesce(sum(amount) FILTER (type = 'CREDIT'), 0)::DECIMAL(29,4) AS income, coalesce(sum(amount) FILTER (type = 'DEBIT'), 0)::DECIMAL(29,4) AS spend FROM ledger WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30' GROUP BY user_id),
+r1 AS (SELECT user_id, coalesce(sum(amount) FILTER (type = 'CREDIT'), 0)::DECIMAL(29,4) AS income, coalesce(sum(amount) FILTER (type = 'DEBIT'), 0)::DECIMAL(29,4) AS spend, count(*) AS entries FROM ledger WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30' GROUP BY user_id),
 r2 AS (SELECT user_id, coalesce(sum(amount) FILTER (date >= DATE '2001-06-01'), 0)::DECIMAL(29,4) AS s, coalesce(sum(amount) FILTER (date < DATE '2001-06-01'), 0)::DECIMAL(29,4) AS prior_spend
        FROM ledger WHERE type = 'DEBIT' AND date BETWEEN DATE '2001-05-02' AND DATE '2001-06-30' GROUP BY user_id),
 r3 AS (SELECT user_id, sum(({div("amount * yearly", "12")})::{D2}) AS recurring, count(*) AS patterns FROM p GROUP BY user_id),
@@ -63,17 +63,8 @@ r4 AS (SELECT user_id, sum(monthly) AS leak_monthly, count(*) AS leaks FROM lk G
 
 
 @query(f"""{REPORT}
-SELECT user_id, income, spend, (income - spend)::DECIMAL(29,4) AS net, coalesce(prior_spend, 0)::DECIMAL(29,4) AS prior_spend,
+SELECT user_id, income, spend, (income - spend)::DECIMAL(29,4) AS net, entries, coalesce(prior_spend, 0)::DECIMAL(29,4) AS prior_spend,
        CASE WHEN prior_spend > 0 THEN {ROUND1.format("(s - prior_spend)::DOUBLE / prior_spend::DOUBLE * 100")} ELSE 0 END AS change, coalesce(recurring, 0)::{D2} AS recurring, coalesce(leak_monthly, 0)::{D2} AS leak_monthly,
        coalesce(patterns, 0) AS patterns, coalesce(leaks, 0) AS leaks FROM r1 LEFT JOIN r2 USING (user_id) LEFT JOIN r3 USING (user_id) LEFT JOIN r4 USING (user_id)""")
 def report_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.data(test_ledger(spark, sf_dir), test_patterns(spark, sf_dir), test_leaks(spark, sf_dir), START, END)
-
-
-def report_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences; their figures are those of report_data, which has SQL."""
-    rows = reports.narrative(report_data(spark, sf_dir))
-    return rows.select("user_id", F.array_join("lines", "\n").alias("text"))
-
-
-query(None)(report_narrative)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, money, quotient, round1, tier
+from ..functions.rules import Rule, found
 from ..functions.vocabulary import TAX_SECTIONS
 from ..operators import overview
 from ..operators.recurring import category_order, monthly_equivalent
@@ -129,6 +130,32 @@ def effects(simulated: DataFrame) -> DataFrame:
     return simulated.select("user_id", "kind", F.inline(F.array_compact(F.array(*found))))
 
 
+_GROWN = f"CAST(%s AS DOUBLE) * {(1 + YEARLY_RETURN) ** 10!r}D"
+_SAVED = f"CAST(%s AS DOUBLE) * {((1 + YEARLY_RETURN / 12) ** 120 - 1) / (YEARLY_RETURN / 12)!r}D"
+_LASTS, _TENURE = "coalesce(duration, 120)", "coalesce(tenure, 0)"
+#: What a scenario is weighed against, by its kind (the section).
+TRADEOFFS = (
+    Rule("ONE_TIME_PURCHASE", "MONTHS_TO_SAVE", "net > 0", ("ceil(CAST(amount AS DOUBLE) / CAST(net AS DOUBLE))", "net"), "{0} months of saving {1} each"),
+    Rule("ONE_TIME_PURCHASE", "DAYS_OF_SPENDING", "spend > 0", ("round(CAST(amount AS DOUBLE) / (CAST(spend AS DOUBLE) / 30))",), "as much as {0} days of usual spending"),
+    Rule("ONE_TIME_PURCHASE", "TEN_YEAR_COST", "true", (_GROWN % "amount",), "invested instead it would be {0} in ten years"),
+    Rule("RECURRING_EXPENSE", "TOTAL", "true", (f"amount * {_LASTS}", _LASTS), "{0} in {1} months"),
+    Rule("RECURRING_EXPENSE", "ANNUAL", "true", ("amount * 12",), "{0} a year"),
+    Rule("RECURRING_EXPENSE", "TEN_YEAR_COST", "true", (_SAVED % "amount",), "invested each month instead it would be {0} in ten years"),
+    Rule("SAVINGS_ADJUSTMENT", "SAVED", "amount > 0", (f"amount * {_LASTS}", _LASTS), "{0} more saved in {1} months"),
+    Rule("SAVINGS_ADJUSTMENT", "SAVINGS_LOST", "amount <= 0", (f"abs(amount) * {_LASTS}", _LASTS), "{0} less saved in {1} months"),
+    Rule("SAVINGS_ADJUSTMENT", "TEN_YEAR_VALUE", "true", (_SAVED % "abs(amount)",), "kept up it comes to {0} in ten years"),
+    Rule("LOAN_EMI", "INSTALMENT", "true", ("instalment", _TENURE), "{0} every month for {1} months"),
+    Rule("LOAN_EMI", "INTEREST", "true", (f"greatest(instalment * {_TENURE} - amount, 0)",), "{0} of interest over the whole time"),
+    Rule("LOAN_EMI", "REPAYMENT", "true", (f"instalment * {_TENURE}",), "{0} paid back in all"),
+)
+
+
+def tradeoffs(simulated: DataFrame) -> DataFrame:
+    """user_id, kind, place, code, figures, text: what each scenario (see simulate) is weighed against."""
+    rules = tuple(r._replace(when=f"kind = '{r.section}' AND {r.when}") for r in TRADEOFFS)
+    return found(simulated, ["user_id", "kind"], rules).drop("section")
+
+
 def projection(simulated: DataFrame) -> DataFrame:
     """user_id, kind, month (1 to 12), before, after: cumulative savings without and with the scenario."""
     c = F.col

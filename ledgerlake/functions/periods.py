@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date, timedelta
 
 PRESETS = ("LAST_7_DAYS", "LAST_30_DAYS", "LAST_90_DAYS", "THIS_MONTH", "LAST_MONTH", "THIS_YEAR", "CUSTOM")
 
 
+def months_back(day: date, months: int) -> date:
+    """The same day so many months earlier, or that month's last."""
+    year, month = divmod(day.year * 12 + day.month - 1 - months, 12)
+    return date(year, month + 1, min(day.day, monthrange(year, month + 1)[1]))
+
+
 def preset(name: str, as_of: date, start: date | None = None, end: date | None = None) -> tuple[date, date]:
     """First and last day of a named range that ends at as_of; CUSTOM takes its own."""
     first = as_of.replace(day=1)

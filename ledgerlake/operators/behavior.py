@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import tier
+from ..functions.periods import months_back
+from .overview import between
 from .recurring import category_order
 
 MONTHS = 6
@@ -28,7 +30,7 @@ def measures(ledger: DataFrame, as_of: date) -> DataFrame:
     Weekend: mean spend of days with entries, weekend against weekdays. Inflation, frequency, tickets: the
     last three months against the three before. Concentration: percent of the largest category.
     """
-    rows = ledger.where((F.col("type") == "DEBIT") & (F.col("date") >= F.add_months(F.lit(as_of), -MONTHS)) & (F.col("date") <= F.lit(as_of)))
+    rows = between(ledger, months_back(as_of, MONTHS), as_of, type="DEBIT")
     weekend, late = F.weekday("date") >= 5, F.col("date") > F.add_months(F.lit(as_of), -MONTHS // 2)
     total = lambda c: F.sum(F.when(c, F.col("amount"))).cast("double")
     days = lambda c: F.countDistinct(F.when(c, F.col("date")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.numbers import money, quotient, tier
+from ..functions.periods import months_back
+from .overview import between
 from .recurring import category_order, monthly_equivalent, times_a_year
 
 MONTHS = 3
@@ -25,27 +27,7 @@ def severity(monthly: Column) -> Column:
 
 def recent(ledger: DataFrame, as_of: date) -> DataFrame:
     """Debits of the last three months."""
-    return ledger.where((F.col("type") == "DEBIT") & (F.col("date") >= F.add_months(F.lit(as_of), -MONTHS)) & (F.col("date") <= F.lit(as_of)))
-
-
-def _finding(rows: DataFrame, kind: str, monthly: Column, items: Column) -> DataFrame:
-    found = rows.groupBy("user_id").agg(money(monthly).alias("monthly"), items.cast("long").alias("items"))
-    return found.select("user_id", F.lit(kind).alias("kind"), "monthly", money(F.col("monthly") * 12).alias("annual"), "items", severity(F.col("monthly")).alias("severity"))
-
-
-def last_category(debits: DataFrame) -> DataFrame:
-    """user_id, merchant, category: that of the merchant's last entry."""
-    last = F.max(F.struct("date", "id", "category"))["category"]
-    return debits.where("merchant IS NOT NULL").groupBy("user_id", "merchant").agg(last.alias("category"))
-
-
-def duplicates(patterns: DataFrame, debits: DataFrame) -> DataFrame:
-    """The category with most patterns (at least two) of those easily cancelled; impact: the cheapest one."""
-    rows = patterns.join(last_category(debits), ["user_id", "merchant"]).where(F.col("category").isin(*V.CANCELLABLE_CATEGORIES))
-    rows = rows.withColumn("each", monthly_equivalent(F.col("amount"), F.col("period")))
-    groups = rows.groupBy("user_id", "category").agg(F.count("*").alias("n"), F.min("each").alias("each")).where("n >= 2")
-    best = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), category_order(F.col("category"))))
-    return _finding(groups.withColumn("r", best).where("r = 1"), KINDS[0], F.max("each"), F.max("n"))
+    return between(ledger, months_back(as_of, MONTHS), as_of, type="DEBIT")
 
 
 def creep_items(patterns: DataFrame, debits: DataFrame) -> DataFrame:
@@ -77,14 +59,42 @@ def fee_items(debits: DataFrame, pattern: str = V.FEES) -> DataFrame:
 
 
 def detect(ledger: DataFrame, patterns: DataFrame, as_of: date, fees: str = V.FEES) -> DataFrame:
-    """user_id, kind, monthly, annual, items, severity, rank of each user's findings, largest impact first."""
-    debits = recent(ledger, as_of)
-    found = (
-        duplicates(patterns, debits)
-        .unionByName(_finding(creep_items(patterns, debits), KINDS[1], F.sum("monthly"), F.count("*")))
-        .unionByName(_finding(drain_items(debits), KINDS[2], F.sum("monthly"), F.count("*")))
-        .unionByName(_finding(fee_items(debits, fees), KINDS[3], quotient(F.sum("total"), MONTHS), F.count("*")))
+    """user_id, kind, monthly, annual, items, severity, rank of each user's findings, largest impact first.
+
+    Duplicates: the category with most patterns (at least two) of those easily cancelled, by its cheapest one. The
+    others add up creep_items, drain_items and fee_items. All come from one aggregate of the recent debits by
+    user and merchant, and patterns are read once.
+    """
+    c = F.col
+    ordered = W.partitionBy("user_id", "merchant").orderBy(F.desc("date"), F.desc("id"), F.desc("amount"))
+    small = (F.trim("merchant") != "") & (c("amount") <= SMALL_MOST)
+    text = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("merchant", F.lit("")))
+    mean = lambda x: F.sum(F.when(x, c("amount"))).cast("double") / F.count(F.when(x, 1))
+    sum_ = lambda x: F.sum(F.when(x, c("amount"))).cast("decimal(29,4)")
+    debits = recent(ledger, as_of).withColumn("r", F.row_number().over(ordered)).withColumn("_fee", text.rlike(fees))
+    shops = debits.groupBy("user_id", "merchant").agg(
+        F.count("*").alias("n"), mean(c("r") > 2).alias("earlier"), mean(c("r") <= 2).alias("latest"), F.max(F.struct("date", "id", "category"))["category"].alias("category"),
+        F.count(F.when(small, 1)).alias("visits"), sum_(small).alias("small"), F.count(F.when(c("_fee"), 1)).alias("charges"), sum_(c("_fee")).alias("fees"),
+    )
+    none = F.lit(None).cast("string")
+    item = lambda kind, sub, each: F.struct(F.lit(kind).alias("kind"), sub.alias("sub"), each.cast("decimal(29,4)").alias("each"))
+    name = F.when(F.trim(F.coalesce("merchant", F.lit(""))) == "", "Bank fees").otherwise(c("merchant"))
+    drained = quotient(c("small"), MONTHS)
+    drain = F.when((c("visits") >= SMALL_VISITS) & (drained >= SMALL_MONTHLY), item(KINDS[2], none, drained))
+    own = shops.select("user_id", F.inline(F.array_compact(F.array(drain, F.when(c("charges") > 0, item(KINDS[3], name, c("fees")))))))
+    crept = (c("n") >= CREEP_PAYMENTS) & (c("earlier") > 0) & (c("latest") / c("earlier") >= CREEP_RATIO)
+    creep = F.when(crept, item(KINDS[1], none, quotient(money(c("latest") - c("earlier")) * times_a_year(c("period")), 12)))
+    double = F.when(c("category").isin(*V.CANCELLABLE_CATEGORIES), item(KINDS[0], c("category"), monthly_equivalent(c("amount"), c("period"))))
+    bound = patterns.select("user_id", "merchant", "amount", "period").join(shops.drop("visits", "small", "charges", "fees"), ["user_id", "merchant"])
+    items = own.unionByName(bound.select("user_id", F.inline(F.array_compact(F.array(double, creep)))))
+    subs = items.groupBy("user_id", "kind", "sub").agg(F.count("*").alias("n"), F.sum("each").alias("total"), F.min("each").alias("least"))
+    twice, fee = c("kind") == KINDS[0], c("kind") == KINDS[3]
+    kinds = subs.where(~twice | (c("n") >= 2)).groupBy("user_id", "kind").agg(
+        F.max(F.struct("n", (-category_order(c("sub"))).alias("o"), "least")).alias("best"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.count("*").alias("subs")
     )
+    monthly = money(F.when(twice, c("best.least")).when(fee, quotient(c("total"), MONTHS)).otherwise(c("total")))
+    found = kinds.select("user_id", "kind", monthly.alias("monthly"), F.when(twice, c("best.n")).when(fee, c("subs")).otherwise(c("n")).alias("items"))
+    found = found.select("user_id", "kind", "monthly", money(c("monthly") * 12).alias("annual"), "items", severity(c("monthly")).alias("severity"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return found.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc_nulls_last("monthly"), order)))
 

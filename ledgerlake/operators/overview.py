@@ -6,13 +6,14 @@ filter the ledger on user_id for one user. Nothing is collected; sums are decima
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import quotient, round1, tier
+from ..functions.periods import months_back
 
 #: Alerts: least amount, least ratio, ratio of a high one, how many a user gets, days back from as_of.
 ALERT_AMOUNT, ALERT_RATIO, ALERT_HIGH, ALERTS, ALERT_DAYS = 200, 1.3, 2.0, 3, 45
@@ -129,9 +130,8 @@ def spend_alerts(ledger: DataFrame, start: date, end: date, as_of: date) -> Data
     The average is over the three calendar months up to the day before start. Periods that ended over 45
     days before as_of give no alert.
     """
-    before = F.date_sub(F.lit(start), 1)
-    past = ledger.where((F.col("date") >= F.add_months(F.trunc(before, "MM"), -2)) & (F.col("date") <= before))
-    average = by_category(past, None, None).select("user_id", "category", quotient(F.col("total"), 3).alias("average"))
+    before = start - timedelta(days=1)
+    average = by_category(ledger, months_back(before.replace(day=1), 2), before).select("user_id", "category", quotient(F.col("total"), 3).alias("average"))
     now = by_category(ledger, start, end).where(F.lit(end) >= F.date_sub(F.lit(as_of), ALERT_DAYS))
     rows = now.join(average, ["user_id", "category"]).where((F.col("average") != 0) & (F.col("total") >= ALERT_AMOUNT))
     rows = rows.withColumn("ratio", F.col("total").cast("double") / F.col("average").cast("double")).where(F.col("ratio") >= ALERT_RATIO)
@@ -142,9 +142,8 @@ def spend_alerts(ledger: DataFrame, start: date, end: date, as_of: date) -> Data
 
 def prior_window(ledger: DataFrame, start: date, end: date) -> DataFrame:
     """user_id, spend, prior_spend, change (percent, one decimal): against the equally long window before."""
-    days = F.datediff(F.lit(end), F.lit(start)) + 1
-    first = F.date_sub(F.lit(start), days)
-    rows = ledger.where((F.col("type") == "DEBIT") & (F.col("date") >= first) & (F.col("date") <= F.lit(end))).groupBy("user_id")
+    first = start - (end - start) - timedelta(days=1)
+    rows = between(ledger, first, end, type="DEBIT").groupBy("user_id")
     now = F.col("date") >= F.lit(start)
     sums = rows.agg(_sum(F.when(now, F.col("amount"))).alias("spend"), _sum(F.when(~now, F.col("amount"))).alias("prior_spend"))
     ratio = (F.col("spend") - F.col("prior_spend")).cast("double") / F.col("prior_spend").cast("double") * 100

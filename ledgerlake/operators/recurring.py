@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.numbers import money, quotient, tier, upper_median
+from ..functions.periods import months_back
+from .overview import between
 
 LOOK_BACK_MONTHS, LEAST_PAYMENTS, LEAST_CONFIDENCE, LEAST_KEY = 24, 2, 0.30, 3
 
@@ -38,7 +40,7 @@ def category_order(category: Column) -> Column:
 
 def payments(ledger: DataFrame, as_of: date, key: str = "merchant_key") -> DataFrame:
     """Debits of the last 24 months with a merchant: key and gap, the days since the key's last payment."""
-    rows = ledger.where((F.col("type") == "DEBIT") & (F.col("date") >= F.add_months(F.lit(as_of), -LOOK_BACK_MONTHS)) & (F.col("date") <= F.lit(as_of)))
+    rows = between(ledger, months_back(as_of, LOOK_BACK_MONTHS), as_of, type="DEBIT")
     rows = rows.where("merchant IS NOT NULL AND trim(merchant) <> ''").withColumn("key", F.col(key)).where(F.length("key") >= LEAST_KEY)
     before = F.lag("date").over(W.partitionBy("user_id", "key").orderBy("date"))
     return rows.withColumn("gap", F.datediff("date", before))
@@ -49,14 +51,12 @@ def detect(ledger: DataFrame, as_of: date, key: str = "merchant_key", name: str
 
     The period is that of the upper median of the gaps (0 left out); without one there is no pattern.
     Confidence weighs how many payments there are (0.35), how many gaps fit (0.35), how stable the amount is
-    (0.15) and whether the most frequent category is typically recurring (0.15). One shuffle by user and key.
+    (0.15) and whether the most frequent category is typically recurring (0.15). One scan and one shuffle by
+    user and key, none over a ledger that is stored by user (see sources.ledger.cluster_ledger).
     """
-    rows = payments(ledger, as_of, key)
     one = ["user_id", "key"]
-    kinds = rows.where("category IS NOT NULL").groupBy(*one, "category").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy(*one).agg(F.max(F.struct("n", (-category_order(F.col("category"))).alias("o"), "category"))["category"].alias("category"))
-    names = rows.groupBy(*one, "merchant").agg(F.count("*").alias("n"))
-    names = names.groupBy(*one).agg(F.min(F.struct((-F.col("n")).alias("n"), "merchant"))["merchant"].alias("common_name"))
+    rows = payments(ledger, as_of, key).withColumn("_kinds", F.count("*").over(W.partitionBy(*one, "category"))).withColumn("_names", F.count("*").over(W.partitionBy(*one, "merchant")))
+    kind = F.when(F.col("category").isNotNull(), F.struct("_kinds", (-category_order(F.col("category"))).alias("o"), "category"))
     value = F.col("amount").cast("double")
     stats = rows.groupBy(*one).agg(
         F.count("*").alias("payments"),
@@ -65,10 +65,12 @@ def detect(ledger: DataFrame, as_of: date, key: str = "merchant_key", name: str
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.max("date").alias("last_seen"),
+        F.max(kind)["category"].alias("category"),
+        F.min(F.struct((-F.col("_names")).alias("n"), "merchant"))["merchant"].alias("common_name"),
         (F.max(name) if name else F.lit(None).cast("string")).alias("known_name"),
     )
     stats = stats.where((F.col("payments") >= LEAST_PAYMENTS) & (F.size("gaps") > 0)).withColumn("period", period_of(upper_median(F.col("gaps")))).where("period IS NOT NULL")
-    stats = stats.join(kinds, one, "left").join(names, one).withColumn("mean", F.col("total").cast("double") / F.col("payments"))
+    stats = stats.withColumn("mean", F.col("total").cast("double") / F.col("payments"))
     low, high = _of_period(F.col("period"), 2), _of_period(F.col("period"), 3)
     stats = stats.withColumn("_low", low).withColumn("_high", high)
     # halves are summed as integers, so the order of the gaps does not matter

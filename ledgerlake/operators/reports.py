@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,7 @@ from .recurring import category_order, monthly_equivalent
 def monthly(ledger: DataFrame, month: date) -> DataFrame:
     """user_id, label, income, spend, net, entries, top_category, top_merchant of the month of a date."""
     start = month.replace(day=1)
-    end = date(start.year + start.month // 12, start.month % 12 + 1, 1)
-    rows = ledger.where((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+    rows = overview.between(ledger, start, date(start.year + start.month // 12, start.month % 12 + 1, 1) - timedelta(days=1))
     sums = overview.totals(rows, None, None)
     kind = overview.by_category(rows, None, None).groupBy("user_id").agg(F.min(F.struct((-F.col("total")).alias("t"), "category"))["category"].alias("top_category"))
     shop = overview.top_merchants(rows, None, None, 1).select("user_id", F.col("merchant").alias("top_merchant"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, money, quotient, round1, tier
+from ..functions.periods import months_back
 from ..functions.rules import Rule, found
 from ..functions.vocabulary import TAX_SECTIONS
 from ..operators import overview
@@ -24,8 +25,7 @@ def baseline(ledger: DataFrame, patterns: DataFrame, as_of: date) -> DataFrame:
     Sums from the first of the month three months back to as_of, divided by three. patterns: those that
     are not dismissed.
     """
-    start = F.trunc(F.add_months(F.lit(as_of), -MONTHS), "MM")
-    rows = ledger.where((F.col("date") >= start) & (F.col("date") <= F.lit(as_of)))
+    rows = overview.between(ledger, months_back(as_of, MONTHS).replace(day=1), as_of)
     sums = overview.totals(rows, None, None).select("user_id", quotient(F.col("income"), MONTHS).alias("income"), quotient(F.col("spend"), MONTHS).alias("spend"))
     top = overview.by_category(rows, None, None).groupBy("user_id").agg(F.max(F.struct("total", (-category_order(F.col("category"))).alias("o"), "category")).alias("top"))
     top = top.select("user_id", F.col("top.category").alias("top_category"), quotient(F.col("top.total"), MONTHS).alias("top_spend"))

@@ -21,6 +21,15 @@ def write_ledger(ledger: DataFrame, path: str, mode: str = "append") -> None:
     ledger.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode(mode).partitionBy("month").parquet(path)
 
 
+def cluster_ledger(ledger: DataFrame, table: str, path: str, buckets: int = 200, mode: str = "overwrite") -> DataFrame:
+    """The ledger as a catalog table by month and, within it, by bucket of user_id: a date range reads its months
+    only, and aggregates and windows by user (and more) need no shuffle. Buckets: about a task's share of the
+    users; each month has at most so many files if one task writes a bucket."""
+    rows = ledger.withColumn("month", F.date_format("date", "yyyy-MM")).repartition(buckets, "user_id")
+    rows.write.mode(mode).partitionBy("month").bucketBy(buckets, "user_id").sortBy("user_id", "date").option("path", path).saveAsTable(table)
+    return ledger.sparkSession.table(table)
+
+
 def test_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a ledger with nations for users: many entries for each user and merchant."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
 from ..functions.text import trimmed
+from .overview import between
+
+log = logging.getLogger(__name__)
 
 PAGE, PAGE_MOST = 25, 100
 
@@ -21,6 +25,28 @@ def page(ledger: DataFrame, number: int = 0, size: int = PAGE) -> DataFrame:
     return ledger.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_after(ledger: DataFrame, user_id: int, after: tuple[date, int] | None = None, size: int = PAGE) -> DataFrame:
+    """One user's next entries, latest first, after the (date, id) of the last one seen (None: from the latest on).
+    A stored ledger is read from that entry's month back; pages do not shift when newer entries come."""
+    size = max(1, min(size, PAGE_MOST))
+    rows = between(ledger, None, after[0] if after else None, user_id=user_id)
+    if after:
+        day = F.lit(after[0])
+        rows = rows.where((F.col("date") < day) | ((F.col("date") == day) & (F.col("id") < after[1])))
+    return rows.orderBy(F.desc("date"), F.desc("id")).limit(size)
+
+
+def pages_after(ledger: DataFrame, keys: DataFrame, size: int = PAGE) -> DataFrame:
+    """The next entries of many users, with place (from 1): keys (user_id, date, id) hold the last one that each has
+    seen, null date for none. Spark limits each user's rows before the shuffle."""
+    size = max(1, min(size, PAGE_MOST))
+    last = keys.select("user_id", F.col("date").alias("_date"), F.col("id").alias("_id"))
+    later = F.col("_date").isNull() | (F.col("date") < F.col("_date")) | ((F.col("date") == F.col("_date")) & (F.col("id") < F.col("_id")))
+    rows = ledger.join(last, "user_id").where(later).drop("_date", "_id")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("date"), F.desc("id")))
+    return rows.withColumn("place", place).where(F.col("place") <= size)
+
+
 def patch(ledger: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """ledger with the cells of changes that are not null. A changed category has confidence 1 and is reviewed."""
     new = changes.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
@@ -130,7 +156,30 @@ def parse_reply(body: Column) -> Column:
     )
 
 
-def audit(events: DataFrame, path: str) -> None:
-    """Append events (at, user_id, action, kind, key, metadata map) as Parquet by day, metadata as JSON."""
-    rows = events.withColumn("metadata", F.to_json("metadata")).withColumn("day", F.to_date("at"))
-    rows.write.mode("append").partitionBy("day").parquet(path)
+#: Columns of an audit log; day is its partition.
+AUDIT = "event_id string, at timestamp, user_id long, action string, kind string, key string, metadata string, day date"
+
+
+def audit(events: DataFrame, path: str) -> bool:
+    """Append events (event_id, at, user_id, action, kind, key, metadata map) by day, metadata as JSON; whether that
+    went well. An event that is there already is left out, so a repeat adds nothing; repeated ids within events
+    count once; events without that column are all new. An error is logged and never reaches the caller, whose own work has to go on."""
+    spark = events.sparkSession
+    try:
+        made = F.col("event_id").cast("string") if "event_id" in events.columns else F.expr("uuid()")
+        rows = events.withColumn("event_id", made).withColumn("metadata", F.to_json("metadata")).withColumn("day", F.to_date("at"))
+        rows = rows.select(*[c.split()[0] for c in AUDIT.split(", ")]).dropDuplicates(["event_id"])
+        days = [r[0] for r in rows.select("day").distinct().collect()]  # the calendar bounds them
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            known = audit_log(spark, path).where(F.col("day").isin([d for d in days if d]) | (F.col("day").isNull() & F.lit(None in days))).select("event_id")
+            rows = rows.join(known, "event_id", "left_anti")
+        rows.select(*[c.split()[0] for c in AUDIT.split(", ")]).write.mode("append").partitionBy("day").parquet(path)
+    except Exception:  # whatever it is, the caller's rows are more important
+        log.exception("audit events were not written to %s", path)
+        return False
+    return True
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT).parquet(path)

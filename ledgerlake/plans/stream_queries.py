@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import recurring
+from ..operators import records, recurring
 from ..sources import export, large_csv, statements
 from ..sources.ledger import test_ledger
 from ..streaming import ingest, rescan, run, state
@@ -189,3 +189,28 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     export.write_export(test_ledger(spark, sf_dir).where(F.col("date") >= F.lit(BATCH_ENDS[1]).cast("date")), path)
     user = F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("user_id")
     return export.read_export(spark, path).select(user, "date", "description", "merchant", "category", "type", "amount", "currency", "source", "reviewed")
+
+
+@query("""
+SELECT * EXCLUDE (n), (n - 25)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS n FROM ledger) WHERE n BETWEEN 26 AND 50""")
+def list_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of every user, from the last entry of the first."""
+    ledger = test_ledger(spark, sf_dir)
+    nothing = ledger.select("user_id").distinct().selectExpr("user_id", "CAST(NULL AS DATE) AS date", "CAST(NULL AS BIGINT) AS id")
+    first = run.stored(records.pages_after(ledger, nothing).where("place = 25").select("user_id", "date", "id"), "page-keys")
+    return records.pages_after(ledger, first)
+
+
+@query("""
+SELECT event_id::VARCHAR AS event_id, user_id, event_type AS action, ts::DATE AS day, '{"value":"' || (event_id % 7)::VARCHAR || '"}' AS metadata FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit log to which overlapping batches were appended, one of them twice."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", F.col("event_type").alias("action"), F.lit("Event").alias("kind"), F.col("event_id").cast("string").alias("key"),
+        F.create_map(F.lit("value"), (F.col("event_id") % 7).cast("string")).alias("metadata"),
+    )
+    path = run.place(spark, "audit")
+    for where in ("event_id % 2 = 0", "event_id % 3 = 0", "event_id % 2 = 0"):
+        records.audit(rows.where(where), path)
+    return records.audit_log(spark, path).select("event_id", "user_id", "action", "day", "metadata")

@@ -216,7 +216,7 @@ def named_sql(c: str) -> str:
     trim = lambda x: rf"regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
     for pattern, name in receipts.SPELLINGS:
         c = trim("regexp_replace({}, '(?i){}', '{}', 'g')".format(c, pattern.replace("'", "''"), name))
-    return rf"regexp_replace({trim(f"regexp_replace({c}, '^[^\w]+|[^\w)]+$', '', 'g')")}, '\s{{2,}}', ' ', 'g')"
+    return rf"regexp_replace({trim(rf"regexp_replace({c}, '^[^\w]+|[^\w)]+$', '', 'g')")}, '\s{{2,}}', ' ', 'g')"
 
 
 @query(rf"""

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import behavior, leaks, overview, recurring, reports
+from ledgerlake.operators import behavior, leaks, overview, records, recurring, reports
 from ledgerlake.plans import simulation
 from ledgerlake.sources import ledger as L
 
@@ -73,3 +73,35 @@ def test_a_ledger_stored_by_user_needs_no_shuffle(spark, clustered, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "Exchange" not in plan and "Bucketed: true" in plan and (name == "balance_windows" or "PartitionFilters: [isnotnull(month" in plan)
     assert sorted(map(str, found.collect())) == sorted(map(str, run(rows(spark)).select(*found.columns).collect()))
+
+
+def test_pages_by_key_add_up_to_the_listing(spark, stored):
+    want = [(r.date, r.id) for r in rows(spark).where("user_id = 3").orderBy(F.desc("date"), F.desc("id")).collect()]
+    got, last = [], None
+    while True:
+        part = [(r.date, r.id) for r in records.page_after(stored, 3, last, size=40).collect()]
+        got += part
+        if len(part) < 40:
+            break
+        last = part[-1]
+    assert got == want
+    plan = plan_of(records.page_after(stored, 3, (date(2022, 3, 5), 10)))
+    assert "(month" in plan and "<= 2022-03" in plan and "PartitionFilters: [isnotnull(month" in plan
+    keys = spark.createDataFrame([(3, *want[9]), (4, None, None)], "user_id long, date date, id long")
+    many = records.pages_after(rows(spark), keys, 20).collect()
+    assert sorted((r.place, r.date, r.id) for r in many if r.user_id == 3) == [(k + 1, *want[10 + k]) for k in range(20)] and {r.user_id for r in many} == {3, 4}
+
+
+def test_audit_appends_once_and_never_fails_the_caller(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    kind = "event_id long, at timestamp, user_id long, action string, kind string, key string, metadata map<string,string>"
+    made = [(k, datetime(2024, 1, 1 + k % 3), 1, "A", "User", "1", {"a": "b"}) for k in range(9)] + [(20, None, None, None, None, None, None), (1, datetime(2024, 1, 2), 1, "A", "User", "1", None)]
+    events = spark.createDataFrame(made, kind)
+    for _ in range(2):
+        assert records.audit(events, path)
+    assert sorted(r.event_id for r in records.audit_log(spark, path).collect()) == sorted(map(str, [*range(9), 20]))
+    assert records.audit_log(spark, path).where("day = DATE '2024-01-02'").count() == 3
+    blocked = tmp_path / "file"
+    blocked.write_text("not a folder")
+    assert records.audit(events, f"{blocked}/audit") is False and records.audit(events.withColumn("action", F.raise_error(F.lit("no")).cast("string")), f"{path}-other") is False
+    assert events.count() == 11 and records.audit_log(spark, path).count() == 10

@@ -97,14 +97,22 @@ class Orderings:
         return out
 
 
+def centre(x: np.ndarray) -> np.ndarray:
+    """The mean of the rows: without it products of vectors far from the origin would round their distances away."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        mean = x.mean(0)
+    return np.where(np.isfinite(mean), mean, 0.0)
+
+
 def fit(sample: np.ndarray, curves: int, k: int, aim: float) -> tuple[Orderings, float, float]:
     """The orderings, the window's share of an ordering, and the recall it has in the sample. Of one to
     `curves` orderings as many as reach the recall with the fewest vectors met: a few wide windows would
     cost more than one that is wider."""
     made = Orderings(sample, curves)
     queries = np.arange(0, len(sample), max(1, len(sample) // 200))
-    norms = np.square(sample).sum(1)
-    d = norms[queries][:, None] + norms[None] - 2 * sample[queries] @ sample.T
+    near_zero = sample - centre(sample)
+    norms = np.square(near_zero).sum(1)
+    d = norms[queries][:, None] + norms[None] - 2 * near_zero[queries] @ near_zero.T
     d[np.arange(len(queries)), queries] = np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
@@ -261,12 +269,14 @@ def _nearest(data: DataFrame, rows: int, k: int, every: int, curves: int, aim: f
             return made.empty_table()
         ids, own = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
         x, q = matrix(left), matrix(right, "query")
-        norms, out = np.square(x).sum(1), []
+        middle, out = centre(x), []
+        moved = x - middle
+        norms = np.square(moved).sum(1)
         # so many of the nearest rows hold k ids at least, and more than rounding mixes up
         keep = min(len(x), 4 * k * int(np.unique(ids, return_counts=True)[1].max()))
         for lo in range(0, len(q), 256):
             some = q[lo : lo + 256]
-            rough = norms[None] - 2 * some @ x.T
+            rough = norms[None] - 2 * (some - middle) @ moved.T
             for j, row in enumerate(rough):
                 row = np.where(ids == own[lo + j], np.inf, row)
                 at = np.flatnonzero((row <= np.partition(row, keep - 1)[keep - 1]) & (row < np.inf))

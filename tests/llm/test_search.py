@@ -58,6 +58,17 @@ def test_neighbours_have_recall(spark):
     assert hit >= 0.9 * total
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8, 1e9])
+def test_neighbours_far_from_the_origin(spark, offset):
+    x = np.random.default_rng(5).normal(size=(600, 16)) + offset
+    rows = spark.createDataFrame([(i * 10, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = ann.nearest(rows).collect()
+    distance = lambda x, q: np.sqrt(np.square(x - q).sum(1))
+    for q in range(0, 600, 60):
+        got = [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q * 10]
+        assert got == brute(x, np.arange(600) * 10, q, distance, 10, False)
+
+
 def test_neighbours_in_a_crowded_cell(spark):
     """A third of the rows are in one cell of the top bits. Neighbours that are near in the order of keys, as
     the fit measured them, are all met, within a cell and across its borders."""

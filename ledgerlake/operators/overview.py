@@ -16,6 +16,7 @@ from ..functions.numbers import quotient, round1, tier
 from ..functions.periods import months_back
 
 #: Alerts: least amount, least ratio, ratio of a high one, how many a user gets, days back from as_of.
+TREND_MOST = 24
 ALERT_AMOUNT, ALERT_RATIO, ALERT_HIGH, ALERTS, ALERT_DAYS = 200, 1.3, 2.0, 3, 45
 
 
@@ -115,6 +116,30 @@ def trend(ledger: DataFrame, start: date, end: date) -> DataFrame:
     return rows.select("user_id", "month", spend.alias("spend"), income.alias("income"), (income - spend).cast("decimal(29,4)").alias("net"))
 
 
+def trend_with_forecast(ledger: DataFrame, as_of: date, months: int = 12) -> DataFrame:
+    """user_id, month, spend, income, net, forecast (false or true): the last `months` (1 to 24) months up to as_of's,
+    gaps as 0, and the three after them."""
+    start = months_back(as_of.replace(day=1), max(1, min(months, TREND_MOST)) - 1)
+    past = trend(ledger, start, as_of)
+    ahead = forecast(past, as_of).select("user_id", "month", *[F.col(c).cast("decimal(29,4)").alias(c) for c in ("spend", "income", "net")], F.lit(True).alias("forecast"))
+    return past.withColumn("forecast", F.lit(False)).unionByName(ahead)
+
+
+def full(ledger: DataFrame, start: date, end: date, as_of: date) -> DataFrame:
+    """user_id, income, spend, net, entries and the lists of an overview, each in its order: categories (category,
+    total, share; largest first), merchants (merchant, total; the top eight), alerts (category, change, severity)."""
+    def listed(rows: DataFrame, name: str, order: list[Column], *columns: str) -> DataFrame:
+        one = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *columns)
+        lists = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
+        return lists.select("user_id", F.transform("x", lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias(name))
+
+    kinds = listed(category_share(ledger, start, end), "categories", [-F.col("total"), F.col("category")], "category", "total", "share")
+    shops = listed(top_merchants(ledger, start, end), "merchants", [F.col("rank")], "merchant", "total")
+    warned = listed(spend_alerts(ledger, start, end, as_of), "alerts", [F.col("rank")], "category", "change", "severity")
+    out = totals(ledger, start, end).join(kinds, "user_id", "left").join(shops, "user_id", "left").join(warned, "user_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("categories", "merchants", "alerts")})
+
+
 def forecast(history: DataFrame, as_of: date, look_back: int = 3, ahead: int = 3) -> DataFrame:
     """user_id, month, spend, income, net of the months after as_of: means of the last months of a trend."""
     last = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("month")))

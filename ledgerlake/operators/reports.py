@@ -24,6 +24,17 @@ def monthly(ledger: DataFrame, month: date) -> DataFrame:
     return out.select("user_id", F.date_format(F.lit(start), "MMMM yyyy").alias("label"), "income", "spend", "net", "entries", "top_category", "top_merchant")
 
 
+def monthly_with_tax(ledger: DataFrame, month: date, sections: DataFrame) -> DataFrame:
+    """monthly with tax_sections (their names in order), tax_entries and tax_total of what counts towards a deduction
+    (sections: simulation.tax_sections of the month's fiscal year)."""
+    sums = sections.groupBy("user_id").agg(
+        F.sort_array(F.collect_list("section")).alias("tax_sections"), F.sum("entries").alias("tax_entries"), F.sum("total").cast("decimal(29,4)").alias("tax_total")
+    )
+    out = monthly(ledger, month).join(sums, "user_id", "left")
+    zero = {"tax_entries": F.lit(0).cast("long"), "tax_total": F.lit(0).cast("decimal(29,4)"), "tax_sections": F.array().cast("array<string>")}
+    return out.withColumns({c: F.coalesce(c, v) for c, v in zero.items()})
+
+
 def data(ledger: DataFrame, patterns: DataFrame, leaks: DataFrame, start: date, end: date) -> DataFrame:
     """user_id, income, spend, net, entries, prior_spend, change, recurring, patterns, leak_monthly, leaks of a period."""
     now = overview.totals(ledger, start, end).select("user_id", "income", "spend", "net", "entries")

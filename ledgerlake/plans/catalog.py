@@ -316,4 +316,4 @@ def behavior_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behavior.profile(behavior.measures(test_ledger(spark, sf_dir), AS_OF))
 
 
-from . import more_queries, planning_queries, record_queries, rule_queries, stream_queries, text_queries  # noqa: E402, F401  they register themselves
+from . import more_queries, overview_queries, planning_queries, record_queries, rule_queries, stream_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -15,13 +15,6 @@ from .catalog import AS_OF, END, LEAKS, SIGNALS, START, query, test_leaks
 from .planning_queries import GOALS_SQL, SIMULATED, TIER, test_baseline, test_goals, test_scenarios
 
 
-@query("""SELECT * FROM (VALUES ('LAST_7_DAYS', DATE '2001-06-30' - 6, DATE '2001-06-30'), ('LAST_30_DAYS', DATE '2001-06-30' - 29, DATE '2001-06-30'),
-('LAST_90_DAYS', DATE '2001-06-30' - 89, DATE '2001-06-30'), ('THIS_MONTH', DATE '2001-06-01', DATE '2001-06-30'), ('LAST_MONTH', DATE '2001-05-01', DATE '2001-05-31'),
-('THIS_YEAR', DATE '2001-01-01', DATE '2001-06-30'), ('CUSTOM', DATE '2001-02-03', DATE '2001-03-04')) AS t(name, first, last)""")
-def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p, *preset(p, AS_OF, date(2001, 2, 3), date(2001, 3, 4))) for p in PRESETS], "name string, first date, last date")
-
-
 @query("""
 , r AS (SELECT * FROM ledger WHERE date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30'),
 s AS (SELECT user_id, coalesce(sum(amount) FILTER (type = 'CREDIT'), 0)::DECIMAL(29,4) AS income, coalesce(sum(amount) FILTER (type = 'DEBIT'), 0)::DECIMAL(29,4) AS spend, count(*) AS entries FROM r GROUP BY user_id),

@@ -267,13 +267,19 @@ def amount_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts.validate_total(items_of(spark, sf_dir)).select("l_orderkey", "amount", F.round("score", 6).alias("score"), "confidence")
 
 
+#: A letter or digit five times in a row, without a back reference.
+REPEATED = "|".join(f"{ch}{{5}}" for ch in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {trim("coalesce(text, '')")} AS bare FROM documents)
+SELECT doc_id, length(bare) > 0 AND (length(regexp_replace(text, '[\x09\x0A\x0D\x20-\x7F]', '', 'g'))::DOUBLE / length(text) > 0.15 OR regexp_matches(text, '{REPEATED}')
+       OR length(regexp_replace(bare, '[ \t\n\x0B\f\r]+', '', 'g'))::DOUBLE / len(regexp_split_to_array(bare, '[ \t\n\x0B\f\r]+')) < 2) AS corrupted FROM t""")
 def ocr_corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The back reference of the repeated character is beyond the other engine's patterns: no SQL."""
+    """Texts that a recogniser garbled."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", receipts.corrupted(F.coalesce("text", F.lit(""))).alias("corrupted"))
 
 
-query(None)(ocr_corrupted)
-
 # streams over the events table; each runs to its end and gives what its state holds
 
 

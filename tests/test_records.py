@@ -29,10 +29,26 @@ def test_safe_names(spark):
 
 
 def test_narrative(spark):
-    report = spark.createDataFrame([(1, Decimal(1000), Decimal(1500), 30.0, Decimal(50), 2, Decimal(10), 1), (2, Decimal(0), Decimal(7), 1.0, Decimal(0), 0, Decimal(0), 0)], "user_id long, income decimal(29,4), spend decimal(29,4), change double, recurring decimal(19,2), patterns long, leak_monthly decimal(19,2), leaks long")
-    rows = {r.user_id: r.lines for r in reports.narrative(report).collect()}
-    assert rows[1] == ["Spent 1,500 against an income of 1,000.", "That is sharply more than in the period before (+30.0%).", "2 recurring payments bind 50 a month.", "10 a month could be kept, 120 a year."]
-    assert rows[2] == ["Spent 7 against an income of 0."]
+    D = Decimal
+    kind = (
+        "user_id long, income decimal(29,4), spend decimal(29,4), net decimal(29,4), entries long, prior_spend decimal(29,4), change double, recurring decimal(19,2), patterns long, leak_monthly decimal(19,2), "
+        "top_category string, top_total decimal(29,4), top_share double, profile string, signals long, cancellable long, recurring_annual decimal(29,2), largest string, largest_amount decimal(19,4), largest_period string, "
+        "dearest_annual decimal(29,2), dearest_opportunity decimal(29,2), dearest string, dearest_monthly decimal(19,2), dearest_one decimal(19,2)"
+    )
+    full = (1, D(1000), D(1500), D(-500), 12, D(1000), 50.0, D(50), 2, D(110), "DINING", D("1234.5"), 82.3, "LARGE_TICKETS", 1, 1, D(600), "Gym", D(40), "Monthly", D(600), D(9147), "Gym", D(40), D(7318))
+    bare = (2, D(0), D(0), D(0), 0, D(0), 0.0, D(0), 0, D(0), None, None, None, "STEADY", 0, None, None, None, None, None, None, None, None, None, None)
+    known = spark.createDataFrame([full, bare], kind)
+    signals = spark.createDataFrame([(1, "LARGE_TICKETS", 1.5, "HIGH", 1), (3, "LARGE_TICKETS", 1.5, "HIGH", 1)], "user_id long, kind string, value double, severity string, rank int")
+    leaks = spark.createDataFrame([(1, "BANK_FEES", D(110), D(1320), "LOW", 1)], "user_id long, kind string, monthly decimal(19,2), annual decimal(19,2), severity string, rank int")
+    advice = spark.createDataFrame([(1, 1, "REDUCE_CATEGORY", D(110)), (1, 2, "WATCH", D(0))], "user_id long, rank int, action string, monthly decimal(19,2)")
+    rows = sorted(reports.narrative(known, signals, leaks, advice).collect(), key=lambda r: (r.user_id, r.place, r.item))
+    assert [(r.section, r.code) for r in rows if r.user_id == 2] == [("SUMMARY", "NO_ENTRIES"), ("BEHAVIOUR", "STEADY"), ("RECURRING", "NO_PATTERNS")] and {r.user_id for r in rows} == {1, 2}
+    assert [r.text for r in rows if r.user_id == 1] == [
+        "12 entries: 1,500 spent against an income of 1,000.", "That is 50% or 500 more than in the period before.", "500 more went out than came in.", "Most went to DINING: 1,235, 82% of all spend.",
+        "What marks the spending most: LARGE_TICKETS.", "About 110 a month could be kept, 1,320 a year.", "LARGE_TICKETS (HIGH).", "Spending is far from that of the period before: 50%.", "DINING alone is 82% of all spend.",
+        "BANK_FEES (LOW): 110 a month, 1,320 a year.", "2 recurring payments bind 50 a month, 600 a year.", "The largest is Gym: 40 (Monthly).", "1 of them are easily cancelled.",
+        "The dearest ones take 600 a year; invested, that would be 9,147 in ten years.", "Gym alone, 40 a month, would be 7,318.", "REDUCE_CATEGORY: up to 110 a month.", "WATCH.",
+    ]
 
 
 def test_ledger_round_trip_and_audit(spark, tmp_path):

@@ -9,10 +9,19 @@ from . import vocabulary as V
 from .text import trimmed
 
 
+def _looks_like(text: Column, pattern: str) -> Column:
+    """What a text of a date format has in any case: the separator, where two or more signs come before it. Spares
+    the parse, which fails by an exception."""
+    sep = next(x for x in pattern if not x.isalpha())
+    lead = pattern.index(sep)
+    third = F.substring(text, 3, 1) == sep
+    return third if lead == 2 else text.contains(sep) & ~third if lead > 2 else text.contains(sep)
+
+
 def parse_date(c: Column, clamp: bool = False) -> Column:
     """The first format that fits, day before month. Days past a month's end are null, or its end if clamp."""
     text = trimmed(c)
-    out = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in V.DATE_FORMATS]).cast("date")
+    out = F.coalesce(*[F.when(_looks_like(text, f), F.try_to_timestamp(text, F.lit(f))) for f in V.DATE_FORMATS]).cast("date")
     if clamp:
         parts = F.regexp_extract(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", 0)
         day, month, year = (F.regexp_extract(parts, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", k).try_cast("int") for k in (1, 2, 3))

@@ -153,7 +153,7 @@ FROM ledger GROUP BY user_id, date""")
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of statement files that stream in, two batches and a restart; sums over categories."""
     source, path, checkpoint = (run.place(spark, f"ingest-{x}") for x in ("files", "ledger", "checkpoint"))
-    ledger = test_ledger(spark, sf_dir)
+    ledger = run.stored(test_ledger(spark, sf_dir), "ingest-rows")
     user = F.regexp_extract("file", r"user=(\d+)", 1)
     for part, where in enumerate(("date <= DATE '2000-12-31'", "date > DATE '2000-12-31'")):
         statement_files(ledger.where(where), f"{source}/part{part}")
@@ -171,7 +171,7 @@ def statement_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run.place(spark, "import-files")
     statement_files(test_ledger(spark, sf_dir), path)
     raw = large_csv.read_large_statements(spark, path, range_bytes=1 << 20)
-    parsed = statements.parse_statements(raw).withColumn("user_id", F.regexp_extract("file", r"user=(\d+)", 1).try_cast("long"))
+    parsed = statements.parse_statements(raw, lambda rows: run.stored(rows, "import-cells")).withColumn("user_id", F.regexp_extract("file", r"user=(\d+)", 1).try_cast("long"))
     good = F.col("error").isNull()
     money = lambda c: F.sum(F.when(c, F.col("amount"))).cast("decimal(29,4)")
     return parsed.groupBy("user_id").agg(

@@ -2,7 +2,8 @@
 
 A first pass counts the quotes of each range; their sum over the ranges before tells whether a range begins
 within quotes. A second pass counts the records that start in each range, so that rows keep their numbers in
-the file; then every range is parsed by itself, from its first record's start to the end of its last record.
+the file; then every range is parsed by itself, from its first record's start to the end of its last record. Files of one
+range need neither pass.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .statements import RAW, blank
+from .statements import RAW, blank, record_batches
 
-RANGE_BYTES, BLOCK, ROWS = 16 << 20, 1 << 20, 5000
+RANGE_BYTES, BLOCK = 16 << 20, 1 << 20
 
 
 def read_large_statements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -56,28 +57,23 @@ def read_large_statements(spark: SparkSession, path: str, range_bytes: int = RAN
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                base, header, found = r.pop("base"), r.pop("header"), []
-                for number, record in enumerate(_records(**r, step=range_bytes), base + 1):
-                    if number > 1:  # the first is the header
-                        found.append((r["path"], number, header, {h: (v.strip() or None) for h, v in zip(header, record, strict=False)}))
-                    if len(found) == ROWS:
-                        yield _rows(found)
-                        found = []
-                yield _rows(found)
-
+                base, header = r.pop("base"), r.pop("header")
+                records = _records(**r, step=range_bytes)
+                first = next(records, None) if base == 0 else None  # the header
+                if header is None and first is not None:
+                    header = [h.strip() for h in first]
+                if header is not None:
+                    yield from record_batches(r["path"], header, max(2, base + 1), records)
+
+    # a file of one range starts outside quotes, at record 1
+    single = ranges.where(F.col("size") <= range_bytes).select("path", "at", "size", F.lit(False).alias("inside"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("array<string>").alias("header"))
+    ranges = ranges.where(F.col("size") > range_bytes)
     counted = ranges.mapInArrow(quotes, "path string, at long, size long, n long")
     known = counted.select("path", "at", "size", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).alias("inside"))
     numbered = deal(known).mapInArrow(counts, "path string, at long, size long, inside boolean, n long, header array<string>")
     header = F.first("header", True).over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
     placed = numbered.select("path", "at", "size", "inside", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), header.alias("header"))
-    return deal(placed.where("header IS NOT NULL")).mapInArrow(cells, RAW)
-
-
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    columns = [[x[k] for x in found] for k in range(4)]
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
-    columns[3] = [list(c.items()) for c in columns[3]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["file", "row_number", "headers", "cells"])
+    return deal(placed.where("header IS NOT NULL").unionByName(single)).mapInArrow(cells, RAW)
 
 
 def _open(path: str) -> pa.NativeFile:

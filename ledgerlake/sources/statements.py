@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from ..operators.balance import reconstruct
 #: Larger files are refused, so a file fits a task.
 MOST_BYTES = 5 << 20
 
+#: Records of an Arrow batch.
+ROWS = 5000
 RAW = "file string, row_number int, headers array<string>, cells map<string,string>"
 
 
@@ -40,6 +44,25 @@ def split_records(name: str, content: bytes) -> Iterator[tuple[str, int, list[st
         yield name, number, header, cells
 
 
+def record_batches(name: str, header: list[str], number: int, records: Iterable[list[str]]) -> Iterator[pa.RecordBatch]:
+    """The records of a file, numbered from `number` on, as batches of RAW, built column by column. Of headers
+    that are alike the last one's cell counts, as in split_records."""
+    records, width, alike = iter(records), len(header), len(set(header)) < len(header)
+    while some := list(islice(records, ROWS)):
+        if alike:
+            made = [{h: v.strip() or None for h, v in zip(header, r, strict=False)} for r in some]
+            keys, values, sizes = [h for d in made for h in d], [v for d in made for v in d.values()], [len(d) for d in made]
+        else:
+            sizes = [min(len(r), width) for r in some]
+            values = [v.strip() or None for r in some for v in r[:width]]
+            keys = header * len(some) if min(sizes) == width else [h for n in sizes for h in header[:n]]
+        n, ends = len(some), np.concatenate([[0], np.cumsum(sizes)])
+        cells = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+        headers = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(header * n, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(number, number + n), pa.int32()), headers, cells], names=["file", "row_number", "headers", "cells"])
+        number += n
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """file, row_number, headers, cells of every record of the CSV files under path, one task for some files.
     Empty, larger than 5 MB and other than .csv files give one row without headers, which parse_statements
@@ -53,45 +76,56 @@ def records_of(found: DataFrame) -> DataFrame:
     files = found.where(fits)
     refused = found.where(~fits).select(F.col("path").alias("file"), F.lit(0).alias("row_number"), F.lit(None).cast("array<string>").alias("headers"), F.lit(None).cast("map<string,string>").alias("cells"))
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.path, batch.content, strict=True):
-                rows = list(split_records(name, content))
-                yield pd.DataFrame(rows, columns=["file", "row_number", "headers", "cells"])
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                found = (r for r in csv.reader(io.StringIO(content.as_py().decode("utf-8-sig", "replace"))) if not blank(r))
+                header = next(found, None)
+                if header is not None:
+                    yield from record_batches(name.as_py(), [h.strip() for h in header], 2, found)
+
+    return files.select("path", "content").mapInArrow(records, RAW).unionByName(refused)
 
-    return files.select("path", "content").mapInPandas(records, RAW).unionByName(refused)
+
+#: The role of each spelling of a header.
+ROLES = {s: r for r, spellings in V.HEADERS.items() for s in spellings} | {"merchant": "merchant"}
 
 
 def header_of(role: str) -> Column:
-    """The first header that is a spelling of the role, or null."""
-    return F.get(F.filter("headers", lambda h: F.lower(text.trimmed(h)).isin(*V.HEADERS[role])), 0)
+    """The first header that is a spelling of the role, or null; _roles: the headers' roles."""
+    return F.get("headers", F.array_position("_roles", role).cast("int") - 1)
 
 
 def layout() -> Column:
     """EXPLICIT_AMOUNT if there is an amount, debit or credit column, BALANCE_ONLY with date, description and
     balance, else UNKNOWN."""
-    has = {r: header_of(r).isNotNull() for r in V.HEADERS}
+    has = {r: F.col(f"_is_{r}").isNotNull() for r in V.HEADERS}
     return F.when(has["amount"] | has["debit"] | has["credit"], "EXPLICIT_AMOUNT").when(has["date"] & has["description"] & has["balance"], "BALANCE_ONLY").otherwise("UNKNOWN")
 
 
 def with_cells(raw: DataFrame) -> DataFrame:
     """raw with layout and a string column for each role, and merchant if there is such a header."""
-    cell = lambda h: F.when(h.isNotNull(), F.try_element_at("cells", h))
-    merchant = F.get(F.filter("headers", lambda h: F.lower(text.trimmed(h)) == "merchant"), 0)
-    roles = {f"_{r}": cell(header_of(r)) for r in V.HEADERS} | {"_merchant": cell(merchant), "layout": layout()}
-    return raw.withColumns(roles)
+    roles = [*V.HEADERS, "merchant"]
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    rows = raw.withColumn("_roles", F.transform("headers", lambda h: F.try_element_at(known, F.lower(text.trimmed(h))))).withColumns({f"_is_{r}": header_of(r) for r in roles})
+    cell = lambda r: F.when(F.col(f"_is_{r}").isNotNull(), F.try_element_at("cells", F.col(f"_is_{r}")))
+    return rows.withColumns({f"_{r}": cell(r) for r in roles} | {"layout": layout()}).drop("_roles", *[f"_is_{r}" for r in roles])
 
 
-def parse_statements(raw: DataFrame) -> DataFrame:
+def parse_statements(raw: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """file, row_number, layout, date, description, amount, is_debit, merchant, raw_text, confidence, error.
 
     Rows with an error have it in words and no amount; rows of balance-only files get their amounts from
     the change of balance. A file with unknown layout gives one error row.
+
+    Each layout has a branch of its own over the records' cells. keep stores them (persisted, or as files), so
+    that the three branches do not read and split the files three times.
     """
-    rows = with_cells(raw)
-    rows = rows.withColumns({"date": parsing.parse_date(F.col("_date")), "raw_text": F.to_json("cells")})
-    money = {r: parsing.parse_money(F.col(f"_{r}")) for r in ("amount", "debit", "credit", "balance")}
-    bad = [F.when(parsing.bad_money(F.col(f"_{r}")), F.lit(f"invalid {r}")) for r in ("debit", "credit", "amount")]
+    rows = with_cells(raw).withColumn("raw_text", F.to_json("cells")).drop("headers", "cells")
+    rows = keep(rows).withColumn("date", parsing.parse_date(F.col("_date")))
+    money = {r: F.col(f"_{r}_money") for r in ("amount", "debit", "credit", "balance")}
+    rows = rows.withColumns({f"_{r}_money": parsing.parse_money(F.col(f"_{r}")) for r in money})
+    bad = [F.when(F.col(f"_{r}").isNotNull() & money[r].isNull() & parsing.bad_money(F.col(f"_{r}")), F.lit(f"invalid {r}")) for r in ("debit", "credit", "amount")]
     explicit = rows.where("layout = 'EXPLICIT_AMOUNT'").withColumn("_r", parsing.resolve_amount(money["amount"], money["debit"], money["credit"], F.col("_type")))
     what = F.coalesce(F.when(F.col("date").isNull(), F.lit("invalid date")), *bad, F.when(F.col("_r").isNull(), F.lit("No amount")))
     error = F.when(what.isNotNull(), F.concat(F.lit("Row "), F.col("row_number"), F.lit(": "), what))

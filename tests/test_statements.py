@@ -84,3 +84,23 @@ def test_dates_clamp(spark):
 def test_export_quotes_formulas(spark):
     df = spark.createDataFrame([(1, 1, None, "=1+1", 'a"b', None, "DEBIT", Decimal("-42.50"))], "user_id long, id long, date date, description string, merchant string, category string, type string, amount decimal(19,4)")
     assert "'=1+1" in statements.export_lines(df).first().line and ",-42.5000," in statements.export_lines(df).first().line
+
+
+def test_records_are_split_once_for_all_layouts(spark, tmp_path):
+    """The three branches read what is kept of the records, and their header need not be scanned for each role."""
+    kept = []
+    (tmp_path / "a.csv").write_text("date,description,amount,date\n2026-01-01,A,5,2026-01-02\n2026-01-03,B\n\n")
+    (tmp_path / "b.csv").write_text("date,description,balance\n2026-01-01,A,5\n2026-01-02,B,7\n")
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+
+    def keep(rows):
+        kept.append(rows.persist())
+        return kept[-1]
+
+    parsed = statements.parse_statements(statements.read_statements(spark, f"file://{tmp_path}"), keep)
+    rows = {(r.file[-5], r.row_number): (str(r.date), r.layout, r.error) for r in parsed.collect()}
+    assert len(kept) == 1 and kept[0].is_cached
+    # of two headers that are alike the last one's cell counts
+    assert rows[("a", 2)] == ("2026-01-02", "EXPLICIT_AMOUNT", None) and rows[("a", 3)][2] == "Row 3: No amount"
+    assert rows[("b", 3)][1:] == ("BALANCE_ONLY", None) and rows[("c", 2)][1] == "UNKNOWN"
+    kept[0].unpersist()

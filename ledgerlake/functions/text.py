@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from . import vocabulary as V
 
 def trimmed(c: Column) -> Column:
     """Without controls and spaces (up to U+0020) at both ends."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit("".join(map(chr, range(0x21)))))
 
 
 def clean_description(raw: Column) -> Column:
@@ -72,12 +70,17 @@ def with_category(df: DataFrame, description: str = "description", merchant: str
     UNCATEGORIZED with 0.25.
     """
     text = F.concat(F.lower(F.coalesce(F.col(description), F.lit(""))), F.lit(" "), F.lower(F.coalesce(F.col(merchant), F.lit(""))))
-    scored = df.withColumn("_text", text)
+    # one loop over the words as data: as code, they make a method too long for the compiler
+    known = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(at).alias("at"), F.lit(12 + 8 * (len(w) > 6)).alias("points")) for at, words in enumerate(lexicon.values()) for w in words])
+    # the text is a variable of the outer loop, so it is made once and not for each word
+    scored = df.withColumn("_hits", F.get(F.transform(F.array(text), lambda t: F.filter(known, lambda k: t.contains(k["word"]))), 0))
+    total = lambda at: F.aggregate("_hits", F.lit(0), lambda s, k: s + F.when(k["at"] == at, k["points"]).otherwise(0))
+    scored = scored.withColumns({f"_p{at}": total(at) for at in range(len(lexicon))})
     scores = []
-    for at, (name, words) in enumerate(lexicon.items()):
-        points = reduce(lambda a, b: a + b, [F.when(F.col("_text").contains(w), F.lit(12 + 8 * (len(w) > 6))).otherwise(0) for w in words])
+    for at, name in enumerate(lexicon):
+        points = F.col(f"_p{at}")
         scores.append(F.struct(F.when(points > 0, F.least(F.lit(95), points + 45)).otherwise(0).alias("score"), F.lit(-at).alias("order"), F.lit(name).alias("name")))
-    scored = scored.withColumn("_best", F.greatest(*scores)).drop("_text")
+    scored = scored.withColumn("_best", F.greatest(*scores)).drop("_hits", *[f"_p{at}" for at in range(len(lexicon))])
     found = F.col("_best.score") > 0
     category = F.when(found, F.col("_best.name")).otherwise("UNCATEGORIZED")
     confidence = (F.when(found, F.col("_best.score")).otherwise(25) / 100).cast("decimal(5,4)")

@@ -13,6 +13,8 @@ ENTRY = (
     "confidence decimal(5,4), raw_text string, source string"
 )
 SUMS = "user_id long, day date, category string, spend decimal(29,4), income decimal(29,4), entries long"
+#: Files of a month and batch at most: without a bound each task would write one for each of its months.
+MONTH_FILES = 4
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -38,17 +40,24 @@ def ingest(files: DataFrame, path: str, checkpoint: str, user_id: Column) -> Non
     user = user_id.try_cast("long")
 
     def run(batch: DataFrame, number: int) -> None:
-        parsed = statements.parse_statements(statements.records_of(batch))
-        parsed = parsed.withColumn("error", F.coalesce("error", F.when(user.isNull(), F.lit("no user")))).persist()
-        entries = statements.to_ledger(parsed, user).withColumn("month", F.date_format("date", "yyyy-MM")).persist()
+        kept: list[DataFrame] = []
+
+        def keep(rows: DataFrame) -> DataFrame:
+            kept.append(rows.persist())
+            return kept[-1]
+
+        parsed = statements.parse_statements(statements.records_of(batch), keep)
+        parsed = parsed.withColumn("error", F.coalesce("error", F.when(user.isNull(), F.lit("no user"))))
+        entries = keep(statements.to_ledger(parsed, user).withColumn("month", F.date_format("date", "yyyy-MM")))
+        daily = daily_sums(entries).withColumn("month", F.date_format("day", "yyyy-MM"))
         try:
-            for rows, name in ((entries, "entries"), (daily_sums(entries).withColumn("month", F.date_format("day", "yyyy-MM")), "daily")):
+            for rows, name in ((entries.repartition("month", F.pmod("id", F.lit(MONTH_FILES))), "entries"), (daily.repartition("month"), "daily")):
                 write = rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 write.partitionBy("month", "batch").parquet(f"{path}/{name}")
             statements.summary(parsed).write.mode("overwrite").parquet(f"{path}/imports/batch={number}")
         finally:
-            entries.unpersist()
-            parsed.unpersist()
+            for rows in kept:
+                rows.unpersist()
 
     foreach_batch(files, run, checkpoint)
 

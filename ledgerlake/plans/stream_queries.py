@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import records, recurring
 from ..sources import export, large_csv, statements
@@ -32,16 +33,22 @@ BATCH_ROWS = 1_000_000
 
 def by_time(rows: DataFrame, name: str, least: int) -> DataFrame:
     """rows (with a time `at`) as a stream of files that come in order of time, one to a micro-batch: `least` or
-    more, of about BATCH_ROWS rows at most. A file source takes files by age, so they are written in turn."""
+    more, of about BATCH_ROWS rows at most. A file source takes files by age, so they are written in turn, each from
+    its own part of the rows: all together are read twice, however many files there are."""
     spark = rows.sparkSession
     rows = run.stored(rows, name)
+    schema = rows.schema
     n = max(least, -(-rows.count() // BATCH_ROWS))
     cuts = rows.select(F.percentile_approx(F.unix_micros("at"), [k / n for k in range(1, n)], 10_000)).first()[0] or []
     path = run.place(spark, f"{name}-by-time")
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows.where(F.lit(True) if low is None else F.unix_micros("at") > low).where(F.lit(True) if high is None else F.unix_micros("at") <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: F.unix_micros("at") > c))
+    known = rows.where(F.col("at").isNotNull()) if cuts else rows
+    dealt = run.place(spark, f"{name}-parts")
+    known.withColumn("_part", number).repartition("_part").write.partitionBy("_part").parquet(dealt)
+    parts = spark.read.schema(T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])).parquet(dealt)
+    for k in range(len(cuts) + 1):
+        parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 #: One step for each event of a user: what is done with the tokens so far.

@@ -176,3 +176,19 @@ def test_rescan_keeps_what_users_said_and_computes_touched_users_only(spark, tmp
     forget_last_commit(check)
     batch([3], [5, 6])  # the last batch comes again, then the new one
     assert now() == {1: (3, True, False), 2: (4, False, True), 3: (5, False, False)} and seen[-1] == [3]
+
+
+def test_log_by_time_is_dealt_to_files_in_one_pass(spark, monkeypatch):
+    """Each file is written from its own part, so the rows are not read once for every file."""
+    from ledgerlake.plans import stream_queries
+
+    places, place = [], stream_queries.run.place
+    monkeypatch.setattr(stream_queries, "BATCH_ROWS", 100)
+    monkeypatch.setattr(stream_queries.run, "place", lambda s, name: places.append((name, place(s, name))) or places[-1][1])
+    rows = spark.range(1000).selectExpr("id", "timestamp_seconds(1700000000 + (id * 7919) % 1000) AS at")
+    stream_queries.by_time(rows, "t", 4)
+    places = dict(places)
+    parts = spark.read.parquet(places["t-parts"]).groupBy("_part").agg({"at": "max", "id": "count"}).orderBy("_part").collect()
+    assert len(parts) == 10 and sum(r["count(id)"] for r in parts) == 1000
+    files = spark.read.parquet(places["t-by-time"]).selectExpr("*", "_metadata.file_path AS f", "_metadata.file_modification_time AS m").groupBy("f", "m").agg({"at": "max", "id": "count"}).orderBy("m").collect()
+    assert [(r["max(at)"], r["count(id)"]) for r in files] == [(r["max(at)"], r["count(id)"]) for r in parts]

@@ -75,7 +75,9 @@ LEAST_SCORE, NEAR = 0.40, 0.08
 def text_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, top, height, confidence, line of plain text: 25 pixels to a line, blank ones counted but left out."""
     lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(\r?\n)+$", ""), r"\r?\n")
-    rows = docs.select(key, (F.size(lines) * LINE_HEIGHT).alias("height"), F.posexplode(lines).alias("at", "line"))
+    # the height is made before the lines part, else each line would split its whole text again; an outer explode
+    # loses nothing, as there is always a line, and spares a filter that splits once more
+    rows = docs.select(key, lines.alias("_lines")).withColumn("height", F.size("_lines") * LINE_HEIGHT).select(key, "height", F.posexplode_outer("_lines").alias("at", "line"))
     return rows.select(key, (F.col("at") * LINE_HEIGHT).alias("top"), "height", F.lit(PLAIN_CONFIDENCE).alias("confidence"), trimmed(F.col("line")).alias("line")).where("line <> ''")
 
 

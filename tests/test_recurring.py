@@ -79,6 +79,14 @@ def test_receipt_merchant(spark):
     assert (line.line, line.top, line.confidence) == ("Big Mart", 10, 0.95)
 
 
+def test_lines_split_each_text_once(spark):
+    doc = spark.createDataFrame([(1, "a\r\n\n \tb \nc\n\n"), (2, None), (3, "x")], "id long, text string")
+    lines = receipts.text_lines(doc, "id")
+    assert sorted((r.id, r.top, r.height, r.line) for r in lines.collect()) == [(1, 0, 100, "a"), (1, 50, 100, "b"), (1, 75, 100, "c"), (3, 0, 25, "x")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.index("Generate") < plan.index("split(")  # below the lines, not once for each
+
+
 def test_receipt_json(spark):
     rows = spark.createDataFrame([('{"merchant_name": "A", "total_amount": 12.5, "more": 1}',), ('{"total_amount": -1}',), ("broken",), (None,)], "json string")
     assert [(r.merchant, r.total) for r in receipts.parse_json(rows).collect()] == [("A", Decimal("12.50"))]

@@ -33,6 +33,13 @@ CONTACT = (
     r"(?i)GSTIN|GTIN|\bGST\b|\bCIN\b|\bPAN\b|\bTIN\b|\bEIN\b|VAT\s+REG|Tel\s*:|Ph\s*:|Fax\s*:|@|www\.|http|[0-9]{10,}|"
     r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b"
 )
+# The same words and patterns for a quick check: words that hold no other one (gst, vat, unit, www. and http say what ADDRESS
+# and CONTACT say by them), whole words, labels before a colon, and what has six digits or more.
+_WORDS = (*NOT_MERCHANT, "gtin", "@")
+PLAIN_WORDS = tuple(w for w in _WORDS if not any(v != w and v in w for v in _WORDS))
+WHOLE_WORDS = r"(?i)\b(?:st|ave|rd|blvd|dr|ln|ct|pl|way|hwy|pkwy|suite|ste|fl|floor|apt|po\s+box|cin|pan|tin|ein)\b"
+LABELS = r"(?i)(?:tel|ph|fax)\s*:"
+NUMBERS = r"[0-9]{10,}|(?i:\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b)"
 # Spellings of a merchant on receipts, tried one after another.
 SPELLINGS = (
     (r"STARBUCKS\s+COFFEE", "STARBUCKS"), (r"WAL[\-\s]+MART\s*SUPERCENTER", "WALMART"), (r"WAL[\-\s]+MART", "WALMART"), (r"MC\s*DONALD['S]*", "MCDONALDS"),
@@ -94,18 +101,19 @@ def _count(c: Column, pattern: str) -> Column:
 
 
 def names_no_merchant(c: Column) -> Column:
-    low = F.lower(c)
-    words = reduce(lambda a, b: a | b, [low.contains(w) for w in NOT_MERCHANT])
-    return words | c.rlike(ADDRESS) | c.rlike(CONTACT) | c.rlike("^[0-9]") | (_count(c, "[0-9]") > F.length(c) * 0.5)
+    """Whether a line holds a word of NOT_MERCHANT, ADDRESS or CONTACT, starts with a digit, or is mostly digits."""
+    # the small text is a variable, so it is made once and not for each word
+    words = F.exists(F.array(F.lower(c)), lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in PLAIN_WORDS]))
+    digits = F.length(F.regexp_replace(c, "[^0-9]+", ""))
+    return words | c.rlike("^[0-9]") | c.rlike(WHOLE_WORDS) | (c.contains(":") & c.rlike(LABELS)) | F.exists(F.array(digits), lambda n: (n > F.length(c) * 0.5) | ((n >= 6) & c.rlike(NUMBERS)))
 
 
 def merchant_score(lines: DataFrame) -> DataFrame:
     """lines with score, 0 to 1: place near the top, confidence, capitals, length and letters."""
     c, size = F.col("line"), F.length("line")
     rows = lines.withColumn("_at", F.when(F.col("height") > 0, F.col("top") / F.col("height")).otherwise(0.0))
-    letters, capitals = _count(c, r"[\p{L}]"), _count(c, r"[\p{Lu}]")
-    parts = F.split(c, r"\s+")
-    titled = F.size(F.filter(parts, lambda w: w.rlike(r"^\p{Lu}"))) / F.size(parts) >= 0.6
+    letters, capitals = F.length(F.regexp_replace(c, r"\P{L}+", "")), F.length(F.regexp_replace(c, r"\P{Lu}+", ""))
+    titled = _count(c, r"(?<!\S)\p{Lu}") / F.size(F.split(c, r"\s+")) >= 0.6
     score = (
         F.when(F.col("_at") <= 0.25, (1 - F.col("_at") / 0.25) * 0.35).otherwise(0.0)
         + F.least(F.lit(1.0), F.col("confidence")) * 0.30

@@ -87,6 +87,31 @@ def test_lines_split_each_text_once(spark):
     assert plan.count("split(") == 1 and plan.index("Generate") < plan.index("split(")  # below the lines, not once for each
 
 
+def test_lines_without_merchant_by_all_words_in_one_pass(spark):
+    import random
+    import re
+
+    rnd = random.Random(1)
+    bits = [*receipts.NOT_MERCHANT, "st", "Ave", "PO  Box", "waye", "fl", "GSTIN", "gtin", "GST", "cin", "Pan", "tina", "EIN", "VAT  REG", "Tel :", "ph:", "PH", "fax\t:", ":", "@", "http", "0123456789", "012345",
+            "27ABCDE1234F1Z5", "x27abcde1234f1z5", "Acme", "café", "ÉTÉ", "\u212a", "GT\u0130N", "7", "12 12", "-", "_", "名", "𝐀b", " "]
+    made = [rnd.choice(["", " ", "x", "."]).join(rnd.choices(bits, k=rnd.randint(1, 3))) for _ in range(1500)] + [*bits, *[b.upper() for b in bits]]
+    c = F.col("line")
+    small = F.lower(c)
+    words = F.array_contains(F.array(*[small.contains(w) for w in receipts.NOT_MERCHANT]), True)
+    plain = words | c.rlike(receipts.ADDRESS) | c.rlike(receipts.CONTACT) | c.rlike("^[0-9]") | (F.length(F.regexp_replace(c, "[^0-9]", "")) > F.length(c) * 0.5)
+    rows = spark.createDataFrame([(x,) for x in made], "line string").select(c, receipts.names_no_merchant(c).alias("got"), plain.alias("want")).collect()
+    assert [r.line for r in rows if r.got != r.want] == [] and {r.got for r in rows} == {True, False}
+    plan = spark.createDataFrame([("a",)], "line string").select(receipts.names_no_merchant(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\(", plan.split("AS ")[0] if "AS " in plan else plan)) <= 1
+
+
+def test_scores_of_letters_and_capitals(spark):
+    lines = ["Big Mart Plaza", "BIG MART", "big mart plaza", "ÉTÉ 12-34", "Big  mart\tPlaza Of", " Big Mart", "a-B c-D e-F", "名名名名", "---- ----"]
+    rows = spark.createDataFrame([(k, 1000, 100, 0.8, x) for k, x in enumerate(lines)], "id int, top int, height int, confidence double, line string")
+    got = {r.line: round(r.score, 6) for r in receipts.merchant_score(rows).collect()}
+    assert [got[x] for x in lines] == [0.49, 0.59, 0.39, 0.54, 0.49, 0.49, 0.34, 0.39, 0.34]
+
+
 def test_receipt_json(spark):
     rows = spark.createDataFrame([('{"merchant_name": "A", "total_amount": 12.5, "more": 1}',), ('{"total_amount": -1}',), ("broken",), (None,)], "json string")
     assert [(r.merchant, r.total) for r in receipts.parse_json(rows).collect()] == [("A", Decimal("12.50"))]

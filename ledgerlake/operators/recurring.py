@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.numbers import money, quotient, tier, upper_median
 from ..functions.periods import months_back
+from ..functions.text import with_merchant_key
 from .overview import between
 
 LOOK_BACK_MONTHS, LEAST_PAYMENTS, LEAST_CONFIDENCE, LEAST_KEY = 24, 2, 0.30, 3
@@ -46,30 +47,46 @@ def payments(ledger: DataFrame, as_of: date, key: str = "merchant_key") -> DataF
     return rows.withColumn("gap", F.datediff("date", before))
 
 
+def _gaps(days: Column) -> Column:
+    """The days between one date and the next, of an array of dates in any order, repeats left out."""
+    ordered = F.array(F.array_sort(F.array_distinct(days)))  # a variable of the outer loop, so it is sorted once
+    return F.get(F.transform(ordered, lambda d: F.transform(F.slice(d, 2, F.size(d)), lambda x, i: F.datediff(x, F.get(d, i)))), 0)
+
+
 def detect(ledger: DataFrame, as_of: date, key: str = "merchant_key", name: str = "canonical_name") -> DataFrame:
     """user_id, key, merchant, period, amount, last_seen, next_expected, payments, confidence, cancellable.
 
     The period is that of the upper median of the gaps (0 left out); without one there is no pattern.
     Confidence weighs how many payments there are (0.35), how many gaps fit (0.35), how stable the amount is
-    (0.15) and whether the most frequent category is typically recurring (0.15). One scan and one shuffle by
-    user and key, none over a ledger that is stored by user (see sources.ledger.cluster_ledger).
+    (0.15) and whether the most frequent category is typically recurring (0.15). Payments are added up by user,
+    merchant and category before the shuffle; a ledger without merchant_key gets the keys of these sums. No
+    shuffle over a ledger that is stored by user (see sources.ledger.cluster_ledger).
     """
     one = ["user_id", "key"]
-    rows = payments(ledger, as_of, key).withColumn("_kinds", F.count("*").over(W.partitionBy(*one, "category"))).withColumn("_names", F.count("*").over(W.partitionBy(*one, "merchant")))
-    kind = F.when(F.col("category").isNotNull(), F.struct("_kinds", (-category_order(F.col("category"))).alias("o"), "category"))
+    rows = between(ledger, months_back(as_of, LOOK_BACK_MONTHS), as_of, type="DEBIT").where("merchant IS NOT NULL AND trim(merchant) <> ''")
+    kept = [c for c in (key, name) if c in ledger.columns and c != "merchant"]
     value = F.col("amount").cast("double")
+    sums = rows.groupBy("user_id", "merchant", "category", *kept).agg(
+        F.count("*").alias("n"), F.sum("amount").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), F.collect_set("date").alias("days")
+    )
+    if key == "merchant_key" and key not in ledger.columns:
+        sums = with_merchant_key(sums)
+    rows = sums.withColumn("key", F.col(key)).withColumn("_kinds", F.sum("n").over(W.partitionBy(*one, "category"))).withColumn("_names", F.sum("n").over(W.partitionBy(*one, "merchant")))
+    kind = F.when(F.col("category").isNotNull(), F.struct("_kinds", (-category_order(F.col("category"))).alias("o"), "category"))
     stats = rows.groupBy(*one).agg(
-        F.count("*").alias("payments"),
-        F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))).alias("gaps"),
-        F.sum("amount").alias("total"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.max("date").alias("last_seen"),
+        F.sum("n").alias("payments"),
+        _gaps(F.flatten(F.collect_list("days"))).alias("gaps"),
+        F.sum("total").cast("decimal(29,4)").alias("total"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.max(F.array_max("days")).alias("last_seen"),
         F.max(kind)["category"].alias("category"),
         F.min(F.struct((-F.col("_names")).alias("n"), "merchant"))["merchant"].alias("common_name"),
         (F.max(name) if name else F.lit(None).cast("string")).alias("known_name"),
     )
-    stats = stats.where((F.col("payments") >= LEAST_PAYMENTS) & (F.size("gaps") > 0)).withColumn("period", period_of(upper_median(F.col("gaps")))).where("period IS NOT NULL")
+    # one condition with the payments, so that short keys are not looked for in every row before the sums
+    stats = stats.where(F.when(F.length("key") >= LEAST_KEY, F.col("payments")) >= LEAST_PAYMENTS)
+    stats = stats.where(F.size("gaps") > 0).withColumn("period", period_of(upper_median(F.col("gaps")))).where("period IS NOT NULL")
     stats = stats.withColumn("mean", F.col("total").cast("double") / F.col("payments"))
     low, high = _of_period(F.col("period"), 2), _of_period(F.col("period"), 3)
     stats = stats.withColumn("_low", low).withColumn("_high", high)

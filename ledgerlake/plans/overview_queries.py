@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.numbers import rupees
 from ..functions.periods import PRESETS, preset
-from ..functions.text import with_merchant_key
 from ..operators import leaks, overview, recurring, reports
 from ..sources.ledger import test_ledger
 from . import simulation as S
@@ -51,7 +50,7 @@ pk AS (WITH ledger AS (SELECT * FROM k3 WHERE length(mkey) >= 3){PATTERNS.replac
 @query(telling(f"{KEYED} SELECT pk.* EXCLUDE (label, yearly, nominal, merchant), nm.merchant FROM pk JOIN nm ON pk.user_id = nm.user_id AND pk.key = nm.mkey"))
 def recurring_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring payments by the key that spellings of a merchant share."""
-    return recurring.detect(with_merchant_key(telling_ledger(spark, sf_dir)), AS_OF)
+    return recurring.detect(telling_ledger(spark, sf_dir), AS_OF)
 
 
 @query(telling(rf"""{RECENT} SELECT user_id, merchant, count(*) AS charges, sum(amount)::{M4} AS total FROM e WHERE regexp_matches(description || ' ' || merchant, '{V.FEES}') GROUP BY 1, 2"""))

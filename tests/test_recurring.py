@@ -41,6 +41,19 @@ def test_merge_keeps_what_users_said(spark):
     assert (one.dismissed, one.confirmed) == (False, True)
 
 
+def test_keys_are_made_of_sums_and_not_of_rows(spark):
+    names = ("NETFLIX.COM", "www.netflix.com", "Acme Gym Pvt Ltd", "ACME GYM", "12345678", "ab", " ")
+    made = [(100 + k % 3, AS_OF - timedelta(30 * (k // 7) + (k % 7 == 1)), names[k % 7], ("OTHER", "SUBSCRIPTIONS", None)[k % 3]) for k in range(70)]
+    rows = ledger(spark, made).unionByName(ledger(spark, made[:20]))
+    found = recurring.detect(rows, AS_OF)
+    got = sorted(map(str, found.collect()))
+    assert got == sorted(map(str, recurring.detect(with_merchant_key(rows), AS_OF).collect())) and len(got) == 1
+    acme = found.where("key = 'acmegym'").first()
+    assert (acme.payments, acme.period, acme.merchant) == (26, "MONTHLY", "ACME GYM")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+
+
 @pytest.mark.parametrize("visits,amount,found", [(8, "500", True), (7, "500", False), (8, "500.01", False), (9, "499.99", False), (10, "450", True)])
 def test_small_drains(spark, visits, amount, found):
     rows = ledger(spark, [(amount, AS_OF - timedelta(k), "Cafe", "FOOD_DINING") for k in range(visits)])

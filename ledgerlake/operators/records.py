@@ -36,13 +36,16 @@ def page_after(ledger: DataFrame, user_id: int, after: tuple[date, int] | None =
     return rows.orderBy(F.desc("date"), F.desc("id")).limit(size)
 
 
-def pages_after(ledger: DataFrame, keys: DataFrame, size: int = PAGE) -> DataFrame:
+def pages_after(ledger: DataFrame, keys: DataFrame | None, size: int = PAGE) -> DataFrame:
     """The next entries of many users, with place (from 1): keys (user_id, date, id) hold the last one that each has
-    seen, null date for none. Spark limits each user's rows before the shuffle."""
+    seen, null date for none; keys None: the first page of every user. Spark limits each user's rows before the shuffle."""
     size = max(1, min(size, PAGE_MOST))
-    last = keys.select("user_id", F.col("date").alias("_date"), F.col("id").alias("_id"))
-    later = F.col("_date").isNull() | (F.col("date") < F.col("_date")) | ((F.col("date") == F.col("_date")) & (F.col("id") < F.col("_id")))
-    rows = ledger.join(last, "user_id").where(later).drop("_date", "_id")
+    if keys is not None:
+        last = keys.select("user_id", F.col("date").alias("_date"), F.col("id").alias("_id"))
+        later = F.col("_date").isNull() | (F.col("date") < F.col("_date")) | ((F.col("date") == F.col("_date")) & (F.col("id") < F.col("_id")))
+        rows = ledger.join(last, "user_id").where(later).drop("_date", "_id")
+    else:
+        rows = ledger.where("user_id IS NOT NULL")
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("date"), F.desc("id")))
     return rows.withColumn("place", place).where(F.col("place") <= size)
 

@@ -203,8 +203,7 @@ SELECT * EXCLUDE (n), (n - 25)::INT AS place FROM (SELECT *, row_number() OVER (
 def list_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of every user, from the last entry of the first."""
     ledger = test_ledger(spark, sf_dir)
-    nothing = ledger.select("user_id").distinct().selectExpr("user_id", "CAST(NULL AS DATE) AS date", "CAST(NULL AS BIGINT) AS id")
-    first = run.stored(records.pages_after(ledger, nothing).where("place = 25").select("user_id", "date", "id"), "page-keys")
+    first = run.stored(records.pages_after(ledger, None).where("place = 25").select("user_id", "date", "id"), "page-keys")
     return records.pages_after(ledger, first)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,23 @@ def with_merchant_key(df: DataFrame, merchant: str = "merchant") -> DataFrame:
     return out.withColumn("merchant_key", key).drop("_s", "_stripped")
 
 
+def words_pattern(words: Iterable[str]) -> str:
+    """A pattern that, at each place where any of the words begins, captures the longest one without moving on."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for sign in word:
+            at = at.setdefault(sign, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [(sign if sign.isalnum() else "\\" + sign) + pattern(below) for sign, below in sorted(at.items()) if sign]
+        one = ways[0] if len(ways) == 1 and "" not in at else f"(?:{'|'.join(ways)})" if ways else ""
+        return one + "?" if ways and "" in at else one
+
+    return f"(?=({pattern(tree)}))"
+
+
 def with_category(df: DataFrame, description: str = "description", merchant: str = "merchant", lexicon: dict[str, tuple[str, ...]] = V.LEXICON) -> DataFrame:
     """Add category and confidence (decimal) by the words of lexicon in description and merchant.
 
@@ -70,18 +90,16 @@ def with_category(df: DataFrame, description: str = "description", merchant: str
     UNCATEGORIZED with 0.25.
     """
     text = F.concat(F.lower(F.coalesce(F.col(description), F.lit(""))), F.lit(" "), F.lower(F.coalesce(F.col(merchant), F.lit(""))))
-    # one loop over the words as data: as code, they make a method too long for the compiler
-    known = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(at).alias("at"), F.lit(12 + 8 * (len(w) > 6)).alias("points")) for at, words in enumerate(lexicon.values()) for w in words])
-    # the text is a variable of the outer loop, so it is made once and not for each word
-    scored = df.withColumn("_hits", F.get(F.transform(F.array(text), lambda t: F.filter(known, lambda k: t.contains(k["word"]))), 0))
-    total = lambda at: F.aggregate("_hits", F.lit(0), lambda s, k: s + F.when(k["at"] == at, k["points"]).otherwise(0))
-    scored = scored.withColumns({f"_p{at}": total(at) for at in range(len(lexicon))})
-    scores = []
-    for at, name in enumerate(lexicon):
-        points = F.col(f"_p{at}")
-        scores.append(F.struct(F.when(points > 0, F.least(F.lit(95), points + 45)).otherwise(0).alias("score"), F.lit(-at).alias("order"), F.lit(name).alias("name")))
-    scored = scored.withColumn("_best", F.greatest(*scores)).drop("_hits", *[f"_p{at}" for at in range(len(lexicon))])
-    found = F.col("_best.score") > 0
-    category = F.when(found, F.col("_best.name")).otherwise("UNCATEGORIZED")
+    listed = [{"n": n, "word": w, "at": at, "points": 12 + 8 * (len(w) > 6)} for n, (at, w) in enumerate((at, w) for at, words in enumerate(lexicon.values()) for w in words)]
+    # one search for all words; where the longest begins, those that it begins with occur too
+    known = {w: [{k: x[k] for k in ("n", "at", "points")} for x in listed if w.startswith(x["word"])] for w in {x["word"] for x in listed}}
+    known = F.from_json(F.lit(json.dumps(known)), "map<string,array<struct<n:int,at:int,points:int>>>")
+    seen = F.array_distinct(F.regexp_extract_all(text, F.lit(words_pattern(x["word"] for x in listed)), F.lit(1)))
+    scored = df.withColumn("_seen", seen).withColumn("_hits", F.when(F.size("_seen") > 0, F.array_distinct(F.flatten(F.transform("_seen", lambda w: F.try_element_at(known, w))))))
+    points = lambda at: F.aggregate("_hits", F.lit(0), lambda s, k: s + F.when(k["at"] == at, k["points"]).otherwise(0))
+    made = F.transform("_hits", lambda h: F.struct(F.least(F.lit(95), points(h["at"]) + 45).alias("score"), (-h["at"]).alias("order")))
+    scored = scored.withColumn("_best", F.array_max(made)).drop("_seen", "_hits")
+    found = F.col("_best").isNotNull()
+    category = F.coalesce(F.when(found, F.get(F.array(*map(F.lit, lexicon)), -F.col("_best.order"))), F.lit("UNCATEGORIZED"))
     confidence = (F.when(found, F.col("_best.score")).otherwise(25) / 100).cast("decimal(5,4)")
     return scored.withColumn("category", category).withColumn("confidence", confidence).drop("_best")

@@ -146,14 +146,18 @@ def parse_statements(raw: DataFrame, keep: Callable[[DataFrame], DataFrame] = la
 
 def to_ledger(parsed: DataFrame, user_id: Column, currency: Column | None = None) -> DataFrame:
     """Ledger rows of parsed ones without error: cleaned, merchant extracted if not given, categorised."""
-    good = parsed.where("error IS NULL")
+    return ledger_rows(parsed.where("error IS NULL"), user_id, currency)
+
+
+def ledger_rows(parsed: DataFrame, user_id: Column, currency: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """The same of all rows, those with an error included, with more of their columns."""
     cleaned = text.clean_description(F.col("description"))
-    good = good.withColumn("merchant", F.coalesce(F.when(text.trimmed(F.col("merchant")) != "", F.col("merchant")), text.merchant_of(F.col("description"))))
-    rows = text.with_category(good.withColumn("description", cleaned).withColumnRenamed("confidence", "_c"))
+    rows = parsed.withColumn("merchant", F.coalesce(F.when(text.trimmed(F.col("merchant")) != "", F.col("merchant")), text.merchant_of(F.col("description"))))
+    rows = text.with_category(rows.withColumn("description", cleaned).withColumnRenamed("confidence", "_c"))
     return rows.select(
         F.xxhash64("file", "row_number").alias("id"), user_id.cast("long").alias("user_id"), "amount", "date", "description", "merchant", "category",
         F.when(F.col("is_debit"), "DEBIT").otherwise("CREDIT").alias("type"), F.coalesce(F.upper(currency) if currency is not None else F.lit(None), F.lit("INR")).alias("currency"),
-        F.least("confidence", "_c").alias("confidence"), "raw_text", F.lit("CSV").alias("source"),
+        F.least("confidence", "_c").alias("confidence"), "raw_text", F.lit("CSV").alias("source"), *also,
     )
 
 

@@ -1,5 +1,6 @@
 """Statement layouts and cells with the results that are expected of them."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -104,3 +105,18 @@ def test_records_are_split_once_for_all_layouts(spark, tmp_path):
     assert rows[("a", 2)] == ("2026-01-02", "EXPLICIT_AMOUNT", None) and rows[("a", 3)][2] == "Row 3: No amount"
     assert rows[("b", 3)][1:] == ("BALANCE_ONLY", None) and rows[("c", 2)][1] == "UNKNOWN"
     kept[0].unpersist()
+
+
+def test_words_are_found_by_one_pattern(spark):
+    """Words that overlap, begin with one another or hold signs, against a plain loop over the words."""
+    lexicon = {"A": ("ab", "abc", "bcd", "long word"), "B": ("abc", "c.d", "(x", "longest"), "C": ("b",)}
+    texts = [("zabcd", None), ("c+d", "c.d (X"), ("LONG WORD", "ab"), ("long", "word"), ("longest", "long word"), ("\n", ""), (None, None), ("bc", "abab ab"), ("né 😀 ab", "b")]
+
+    def best(words):
+        points = [sum(12 + 8 * (len(w) > 6) for w in ws if w in words) for ws in lexicon.values()]
+        score, order = max((min(95, p + 45) if p else 0, -at) for at, p in enumerate(points))
+        return (list(lexicon)[-order], Decimal(score) / 100) if score else ("UNCATEGORIZED", Decimal("0.25"))
+
+    rows = text.with_category(spark.createDataFrame(texts, "description string, merchant string"), lexicon=lexicon).collect()
+    assert [(r.category, r.confidence) for r in rows] == [best(f"{d or ''} {m or ''}".lower()) for d, m in texts]
+    assert re.findall(text.words_pattern(lexicon["A"]), "abcd ab") == ["abc", "bcd", "ab"]

@@ -192,3 +192,14 @@ def test_log_by_time_is_dealt_to_files_in_one_pass(spark, monkeypatch):
     assert len(parts) == 10 and sum(r["count(id)"] for r in parts) == 1000
     files = spark.read.parquet(places["t-by-time"]).selectExpr("*", "_metadata.file_path AS f", "_metadata.file_modification_time AS m").groupBy("f", "m").agg({"at": "max", "id": "count"}).orderBy("m").collect()
     assert [(r["max(at)"], r["count(id)"]) for r in files] == [(r["max(at)"], r["count(id)"]) for r in parts]
+
+
+def test_ingest_parses_a_row_once(spark, tmp_path, monkeypatch):
+    """What became of the files is told from the parsed rows that the entries were made of, not from a parse of its own."""
+    plans, summary = [], statements.summary
+    monkeypatch.setattr(ingest.statements, "summary", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or summary(rows))
+    os.makedirs(f"{tmp_path}/in/user=1")
+    with open(f"{tmp_path}/in/user=1/a.csv", "w") as f:
+        f.write(HEAD + "2024-01-05,uber trip,,DEBIT,120.50\n")
+    ingest.ingest(ingest.arriving(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", F.regexp_extract("file", r"user=(\d+)", 1))
+    assert len(plans) == 1 and "gettimestamp" in plans[0] and "gettimestamp" not in plans[0].split("InMemoryRelation")[0]

@@ -30,6 +30,12 @@ FROM (SELECT *, lag(id, 2) OVER (PARTITION BY user_id ORDER BY ts, id) AS older,
 #: Rows of a file, and so of a micro-batch, of a log that is streamed.
 BATCH_ROWS = 1_000_000
 
+#: Events of a bucket of users, all batches together, about.
+BUCKET_ROWS = 1 << 16
+
+#: Of a file that one task writes, so that more than one task reads it.
+GROUP_BYTES = 2 << 20
+
 
 def by_time(rows: DataFrame, name: str, least: int) -> DataFrame:
     """rows (with a time `at`) as a stream of files that come in order of time, one to a micro-batch: `least` or
@@ -47,7 +53,7 @@ def by_time(rows: DataFrame, name: str, least: int) -> DataFrame:
     known.withColumn("_part", number).repartition("_part").write.partitionBy("_part").parquet(dealt)
     parts = spark.read.schema(T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])).parquet(dealt)
     for k in range(len(cuts) + 1):
-        parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+        parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -84,7 +90,8 @@ def token_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What came of each use of a session or reset token: the log as a stream of four files through keyed state."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     log = spark.sql(log_sql("last_value({0}, true)").replace("FROM events", "FROM {events}"), events=events)
-    out = run.drained(state.token_outcomes(by_time(log.withColumnRenamed("ts", "at"), "token-log", 4)), "token-outcomes")
+    buckets = max(32, -(-events.count() // BUCKET_ROWS))
+    out = run.drained(state.token_outcomes(by_time(log.withColumnRenamed("ts", "at"), "token-log", 4), buckets=buckets), "token-outcomes")
     return out.withColumnRenamed("at", "ts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -1,8 +1,8 @@
 """Keyed state machines over event logs: session and reset tokens, and counters that are reset.
 
-State is kept by user (or by a bucket of users) in the state store; logs are read in files that come in
-order of time. Rows of one key in one micro-batch are ordered in memory, so what a trigger takes (for a file
-source maxFilesPerTrigger) bounds them.
+State is kept by bucket of users in the state store; logs are read in files that come in order of time. Rows
+of one bucket in one micro-batch are ordered in memory, so what a trigger takes (for a file source
+maxFilesPerTrigger) bounds them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from datetime import timedelta
+from struct import Struct
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,101 +26,144 @@ def micros(span: timedelta) -> int:
     return span // timedelta(microseconds=1)
 
 
+#: A token in state: user, SHA-256, kind, and when it expires, was consumed and was revoked, in microseconds.
+ENTRY = Struct("<q32sBqqq")
+SESSION_KIND, RESET_KIND = 0, 1
+#: What a step reads of an event; id as text, since pandas would round whole numbers beside nulls.
+EVENT = ("us", "id", "user_id", "action", "hash", "new_hash")
+NEVER, DAY = (1 << 63) - 1, micros(timedelta(days=1))
+
+
 class TokenStates(StatefulProcessor):
-    """One user's tokens by hash: kind, when they expire, were consumed and were revoked, in microseconds."""
+    """The tokens of a bucket of users by hash: kind, when they expire, were consumed and were revoked, in microseconds.
+
+    State is a list with one value for each micro-batch, the packed entries of the tokens that it changed; a token's last
+    entry counts. So a bucket is read and appended to once a batch, not once for each event, and a token, which changes
+    three times at most (added, consumed, revoked), is never written again with others.
+    """
 
     def __init__(self, session: timedelta, reset: timedelta, known: timedelta):
         self.session, self.reset, self.known = micros(session), micros(reset), micros(known)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.tokens = handle.getMapState("tokens", "hash string", "kind string, expires long, consumed long, revoked long")
+        self.log = handle.getListState("log", "entries binary")
 
-    def find(self, hash_: str | None, kind: str, at: int) -> tuple | None:
+    def find(self, hash_: bytes | None, kind: int, at: int) -> tuple | None:
         """The token, unless it is unknown or dead for so long that it counts as purged."""
-        token = self.tokens.getValue((hash_,)) if hash_ is not None else None
-        return tuple(token) if token is not None and token[0] == kind and not self.purged(token, at) else None
+        token = self.tokens.get(hash_) if hash_ is not None else None
+        return token if token is not None and token[2] == kind and not self.purged(token, at) else None
 
     def purged(self, token: tuple, at: int) -> bool:
-        return any(t is not None and t < at - self.known for t in token[1:])
+        return min(token[3:]) < at - self.known
 
-    def end_live(self, kind: str, at: int, revoke: bool) -> int:
+    def update(self, hash_: bytes, kind: int, expires: int, consumed: int = NEVER, revoked: int = NEVER) -> None:
+        self.tokens[hash_] = self.changed[self.user, hash_] = (self.user, hash_, kind, expires, consumed, revoked)
+
+    def end_live(self, kind: int, at: int, revoke: bool) -> int:
         """Revoke (or consume) all of the user's live tokens of a kind; how many."""
-        live = [(k[0], tuple(v)) for k, v in self.tokens.iterator() if v[0] == kind and v[2] is None and v[3] is None and v[1] > at]
-        for hash_, (_, expires, _, _) in live:
-            self.tokens.updateValue((hash_,), (kind, expires, None if revoke else at, at if revoke else None))
+        live = [t for t in self.tokens.values() if t[2] == kind and t[4] == t[5] == NEVER and t[3] > at]
+        for _, hash_, _, expires, _, _ in live:
+            self.update(hash_, kind, expires, NEVER if revoke else at, at if revoke else NEVER)
         return len(live)
 
-    def add(self, hash_: str, kind: str, expires: int) -> None:
-        self.tokens.updateValue((hash_,), (kind, expires, None, None))
-        if self.timed:
-            self.handle.registerTimer((expires + self.known) // 1000 + 1)
+    def add(self, hash_: bytes | None, kind: int, expires: int) -> None:
+        self.update(hash_ or bytes(32), kind, expires)
+        self.ends.add((expires + self.known) // DAY + 1)
 
-    def step(self, action: str, hash_: str | None, new: str | None, at: int) -> tuple[str, int]:
+    def step(self, action: str, hash_: bytes | None, new: bytes | None, at: int) -> tuple[str, int]:
         if action == "ISSUE":
-            self.add(hash_, "SESSION", at + self.session)
+            self.add(hash_, SESSION_KIND, at + self.session)
             return "ISSUED", 0
         if action == "ROTATE":
-            token = self.find(hash_, "SESSION", at)
+            token = self.find(hash_, SESSION_KIND, at)
             if token is None:
                 return "INVALID", 0
-            _, expires, consumed, revoked = token
-            if consumed is not None or revoked is not None:  # a token that was used before: taken for theft
-                return "REUSED", self.end_live("SESSION", at, revoke=True)
+            *_, expires, consumed, revoked = token
+            if consumed != NEVER or revoked != NEVER:  # a token that was used before: taken for theft
+                return "REUSED", self.end_live(SESSION_KIND, at, revoke=True)
             if expires <= at:
                 return "EXPIRED", 0
-            self.tokens.updateValue((hash_,), ("SESSION", expires, at, None))
-            self.add(new, "SESSION", at + self.session)
+            self.update(hash_, SESSION_KIND, expires, at)
+            self.add(new, SESSION_KIND, at + self.session)
             return "ROTATED", 0
         if action == "REVOKE":  # silent on what is unknown or revoked already
-            token = self.find(hash_, "SESSION", at)
-            if token is None or token[3] is not None:
+            token = self.find(hash_, SESSION_KIND, at)
+            if token is None or token[5] != NEVER:
                 return "IGNORED", 0
-            self.tokens.updateValue((hash_,), ("SESSION", token[1], token[2], at))
+            self.update(hash_, SESSION_KIND, token[3], token[4], at)
             return "REVOKED", 1
         if action == "REVOKE_ALL":
-            return "REVOKED", self.end_live("SESSION", at, revoke=True)
+            return "REVOKED", self.end_live(SESSION_KIND, at, revoke=True)
         if action == "RESET_REQUEST":
-            self.add(hash_, "RESET", at + self.reset)
+            self.add(hash_, RESET_KIND, at + self.reset)
             return "ISSUED", 0
         if action == "RESET_CONSUME":
-            token = self.find(hash_, "RESET", at)
-            if token is None or token[2] is not None or token[1] <= at:
+            token = self.find(hash_, RESET_KIND, at)
+            if token is None or token[4] != NEVER or token[3] <= at:
                 return "INVALID", 0
-            self.tokens.updateValue((hash_,), ("RESET", token[1], at, None))
-            self.end_live("RESET", at, revoke=False)  # other links of the user
-            return "RESET", self.end_live("SESSION", at, revoke=True)
+            self.update(hash_, RESET_KIND, token[3], at)
+            self.end_live(RESET_KIND, at, revoke=False)  # other links of the user
+            return "RESET", self.end_live(SESSION_KIND, at, revoke=True)
         return "IGNORED", 0
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self.timed = timerValues.getCurrentWatermarkInMs() >= 0
-        for r in sorted(rows, key=lambda r: (r.us, r.id)):
-            outcome, revoked = self.step(r.action, r.hash, r.new_hash, r.us)
-            yield Row(user_id=key[0], id=r.id, us=r.us, action=r.action, outcome=outcome, revoked=revoked)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def entries(self) -> Iterator[tuple]:
+        for (packed,) in self.log.get():
+            yield from ENTRY.iter_unpack(packed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = [[x for part in parts for x in part] for parts in zip(*[[r[c].tolist() for c in EVENT] for r in rows], strict=True)]
+        events = sorted(zip(*columns, strict=True), key=lambda e: (e[0], int(e[1]) if e[1] is not None else -NEVER))
+        users: dict[int, dict] = {user: {} for user in columns[2]}
+        for token in self.entries():
+            if (tokens := users.get(token[0])) is not None:
+                tokens[token[1]] = token
+        self.changed, self.ends, found = {}, set(), []
+        for at, _, self.user, action, hash_, new in events:
+            self.tokens = users[self.user]
+            found.append(self.step(action, hash_, new, at))
+        if self.changed:
+            self.log.appendValue((self.packed(self.changed),))
+        if timerValues.getCurrentWatermarkInMs() >= 0:
+            for day in self.ends:  # a timer a day, not one for each token
+                self.handle.registerTimer(day * DAY // 1000)
+        us, ids, user_ids, actions, _, _ = zip(*events, strict=True)
+        outcomes, revoked = zip(*found, strict=True)
+        yield pd.DataFrame({"user_id": user_ids, "id": ids, "us": us, "action": actions, "outcome": outcomes, "revoked": revoked})
+
+    def packed(self, tokens: dict[tuple, tuple]) -> bytes:
+        return b"".join(ENTRY.pack(*t) for t in tokens.values())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        for hash_ in [k[0] for k, v in self.tokens.iterator() if self.purged(tuple(v), now)]:
-            self.tokens.removeKey((hash_,))
+        tokens = {t[:2]: t for t in self.entries()}
+        tokens = {of: t for of, t in tokens.items() if not self.purged(t, now)}
+        if tokens:
+            self.log.put([(self.packed(tokens),)])
+        else:
+            self.log.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def token_outcomes(log: DataFrame, late: str = "1 day", session: timedelta = SESSION, reset: timedelta = RESET, known: timedelta = KNOWN) -> DataFrame:
+def token_outcomes(log: DataFrame, late: str = "1 day", session: timedelta = SESSION, reset: timedelta = RESET, known: timedelta = KNOWN, buckets: int = 256) -> DataFrame:
     """user_id, id, at, action, outcome, revoked of a stream of token events (user_id, id, at, action, token, new_token).
 
     ISSUE and RESET_REQUEST add a token. ROTATE consumes a session token and adds new_token; a consumed or
     revoked one that comes back revokes all live sessions of the user (REUSED). RESET_CONSUME works once, ends
     the user's other reset links and all sessions. State holds SHA-256 hashes only; what is dead for `known`
     counts as never seen, and timers remove it once the watermark is beyond. Rows without user or time go;
-    those over `late` behind are dropped by the watermark.
+    those over `late` behind are dropped by the watermark. A task holds one bucket of users at a time: its tokens
+    (65 bytes for each change) and its rows of a micro-batch.
     """
-    hashed = log.where("user_id IS NOT NULL AND at IS NOT NULL").select("user_id", "id", "at", F.unix_micros("at").alias("us"), "action", F.sha2(F.col("token").cast("string"), 256).alias("hash"), F.sha2(F.col("new_token").cast("string"), 256).alias("new_hash"))
-    made = "user_id long, id long, us long, action string, outcome string, revoked int"
-    out = hashed.withWatermark("at", late).groupBy("user_id").transformWithState(TokenStates(session, reset, known), made, "append", "eventTime")
-    return out.select("user_id", "id", F.timestamp_micros("us").alias("at"), "action", "outcome", "revoked")
+    rows = log.where("user_id IS NOT NULL AND at IS NOT NULL")
+    hash_ = lambda c: F.unhex(F.sha2(F.col(c).cast("string"), 256))
+    hashed = rows.select(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket"), "user_id", F.col("id").cast("string").alias("id"), "at", F.unix_micros("at").alias("us"), "action", hash_("token").alias("hash"), hash_("new_token").alias("new_hash"))
+    made = "user_id long, id string, us long, action string, outcome string, revoked int"
+    out = hashed.withWatermark("at", late).groupBy("bucket").transformWithStateInPandas(TokenStates(session, reset, known), made, "append", "eventTime")
+    return out.select("user_id", F.col("id").cast("long").alias("id"), F.timestamp_micros("us").alias("at"), "action", "outcome", "revoked")
 
 
 class CounterStates(StatefulProcessor):

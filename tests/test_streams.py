@@ -203,3 +203,60 @@ def test_ingest_parses_a_row_once(spark, tmp_path, monkeypatch):
         f.write(HEAD + "2024-01-05,uber trip,,DEBIT,120.50\n")
     ingest.ingest(ingest.arriving(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", F.regexp_extract("file", r"user=(\d+)", 1))
     assert len(plans) == 1 and "gettimestamp" in plans[0] and "gettimestamp" not in plans[0].split("InMemoryRelation")[0]
+
+
+class KeptList:
+    """A list state and the timers of one key, with the number of its calls."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = [], [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.values)
+
+    def appendValue(self, value):
+        self.calls.append("append")
+        self.values.append(value)
+
+    def put(self, values):
+        self.values = list(values)
+
+    def clear(self):
+        self.values = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_bucket_of_tokens_is_read_and_appended_to_once_a_batch():
+    """However many events and users it holds; timers are one a day and leave the tokens that are not dead for long."""
+    import pandas as pd
+
+    kept, kept.now = KeptList(), 0
+    tokens = state.TokenStates(state.SESSION, state.RESET, state.KNOWN)
+    tokens.init(kept)
+    day = state.DAY
+    hash_ = lambda user, n: bytes([user, n]) * 16
+    for batch in (0, 1):  # each user's token is rotated 20 times in a batch, then the first comes back
+        rows = [("1" + str(n), batch * day + n, user, "ROTATE", hash_(user, n - 1), hash_(user, n)) for user in (1, 2, 3) for n in range(batch * 20 + 1, batch * 20 + 21)]
+        rows += [("0", 0, user, "ISSUE", hash_(user, 0), None) for user in (1, 2, 3) if batch == 0]
+        frame = pd.DataFrame(rows, columns=["id", "us", "user_id", "action", "hash", "new_hash"])
+        out = pd.concat(tokens.handleInputRows((0,), iter([frame[:7], frame[7:]]), kept))
+        assert set(out.outcome) == ({"ISSUED", "ROTATED"} if batch == 0 else {"ROTATED"}) and len(out) == len(rows)
+    back = pd.DataFrame([("9", 2 * day, 2, "ROTATE", hash_(2, 0), None), (None, 2 * day, 3, None, None, None)], columns=["id", "us", "user_id", "action", "hash", "new_hash"])
+    out = pd.concat(tokens.handleInputRows((0,), iter([back]), kept))
+    assert [tuple(r) for r in out[["user_id", "id", "action", "outcome", "revoked"]].itertuples(index=False)] == [(3, None, None, "IGNORED", 0), (2, "9", "ROTATE", "REUSED", 1)]
+    assert kept.calls == ["get", "append"] * 3 and len(set(kept.timers)) == 2
+    kept.now = kept.timers[0]  # 38 days on, the tokens of the first day are dead for long, those of the second are not
+    list(tokens.handleExpiredTimer((0,), kept, None))
+    assert len(kept.values) == 1 and {t[1] for t in tokens.entries()} == {hash_(u, n) for u in (1, 2, 3) for n in range(40, 41) if u != 2}
+    kept.now += 10**9
+    list(tokens.handleExpiredTimer((0,), kept, None))
+    assert kept.values == []

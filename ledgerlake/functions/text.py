@@ -18,7 +18,7 @@ def trimmed(c: Column) -> Column:
 
 def clean_description(raw: Column) -> Column:
     """References and runs of spaces go; null gives an empty text."""
-    text = F.regexp_replace(trimmed(F.coalesce(raw, F.lit(""))), r"(?i)[0-9]{9,20}|UPI/[A-Z0-9]+|REF[A-Z0-9]+|NEFT/[A-Z0-9]+|IMPS/[A-Z0-9]+", " ")
+    text = F.regexp_replace(trimmed(F.coalesce(raw, F.lit(""))), r"(?i)(?=[0-9UNRI])(?:[0-9]{9,20}|UPI/[A-Z0-9]+|REF[A-Z0-9]+|NEFT/[A-Z0-9]+|IMPS/[A-Z0-9]+)", " ")
     text = F.regexp_replace(text, r"/[A-Z0-9]{6,}/", " ")
     text = F.regexp_replace(text, r"\s{2,}", " ")
     return trimmed(F.regexp_replace(text, r"[/@\-_]+$", ""))
@@ -74,12 +74,22 @@ def words_pattern(words: Iterable[str]) -> str:
             at = at.setdefault(sign, {})
         at[""] = {}
 
+    def plain(sign: str) -> str:
+        return sign if sign.isalnum() else "\\" + sign
+
+    def one_of(signs: Iterable[str]) -> str:
+        return f"[{''.join(map(plain, sorted(signs)))}]"
+
     def pattern(at: dict) -> str:
-        ways = [(sign if sign.isalnum() else "\\" + sign) + pattern(below) for sign, below in sorted(at.items()) if sign]
+        ways = [plain(sign) + pattern(below) for sign, below in sorted(at.items()) if sign]
         one = ways[0] if len(ways) == 1 and "" not in at else f"(?:{'|'.join(ways)})" if ways else ""
         return one + "?" if ways and "" in at else one
 
-    return f"(?=({pattern(tree)}))"
+    if not tree or "" in tree:
+        return f"(?=({pattern(tree)}))"
+    seconds = {sign for below in tree.values() for sign in below}
+    # most places fail by their first two signs, without a try of each letter
+    return f"(?={one_of(tree)}{one_of(seconds) if '' not in seconds else ''})(?=({pattern(tree)}))"
 
 
 def with_category(df: DataFrame, description: str = "description", merchant: str = "merchant", lexicon: dict[str, tuple[str, ...]] = V.LEXICON) -> DataFrame:
